@@ -37,6 +37,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import fold, learn, score
+
+    docs = _table(spark, sf_dir, "documents")
+    out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    model, words = learn(docs.filter(~out))
+    return score(docs, model, words).withColumn("held_out", out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -185,3 +185,71 @@ def signed(h: np.ndarray) -> np.ndarray:
 def code_points(data: np.ndarray) -> np.ndarray:
     """True at the first byte of each code point."""
     return (data & 0xC0) != 0x80
+
+
+class HashTable:
+    """64-bit keys to positions in an array, by open addressing; looks up whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        size = 1 << max(4, int(2 * max(1, self.n) - 1).bit_length())
+        self.mask = _U(size - 1)
+        self.keys = np.zeros(size, _U)
+        self.at = np.full(size, -1, np.int32)
+        left = np.arange(self.n, dtype=np.int32)
+        slot = (mix(keys) & self.mask).astype(np.int64)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]  # the last one written wins the slot
+            self.keys[slot[free]] = keys[left[free]]
+            lost = self.at[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & int(self.mask)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 where it isn't there."""
+        slot = (mix(keys) & self.mask).astype(np.int64)
+        out = self.at[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+            out[todo] = self.at[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != keys[todo])]
+        return out
+
+
+class Counts:
+    """Counts by 64-bit key of what a task has seen; merged in memory, given out when large."""
+
+    def __init__(self, limit: int = 1_500_000):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.limit, self.held = limit, 0
+
+    def add(self, keys: np.ndarray) -> None:
+        keys = np.sort(keys)
+        if len(keys):
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self._hold(keys[first], np.diff(np.append(first, len(keys))))
+
+    def _hold(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.held += len(keys)
+        if self.held > self.limit:
+            self._merge()
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.parts = [(keys[first], np.add.reduceat(n, first))]
+            self.held = len(first)
+
+    def full(self) -> bool:
+        return self.held > self.limit
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        out = self.parts[0] if self.parts else (np.zeros(0, _U), np.zeros(0, np.int64))
+        self.parts, self.held = [], 0
+        return out
