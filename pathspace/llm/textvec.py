@@ -96,16 +96,23 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+class SpanHash:
+    """Position-free 64-bit hashes of byte spans of one array."""
+
+    def __init__(self, data: np.ndarray):
+        p, self.inv = _pow_tables(len(data) + 1)
+        self.total = np.empty(len(data) + 1, _U)
+        self.total[0] = 0
+        np.cumsum((data.astype(_U) + _U(1)) * p[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.inv[starts]
+        return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93) + _U(salt))
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A position-free 64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    p, inv = _pow_tables(len(data) + 1)
-    total = np.empty(len(data) + 1, _U)
-    total[0] = 0
-    np.cumsum((data.astype(_U) + _U(1)) * p[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return SpanHash(data)(starts, ends) if len(starts) else np.zeros(0, _U)
 
 
 class Words:
