@@ -44,6 +44,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import fold, learn, score
 
