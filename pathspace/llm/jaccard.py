@@ -94,8 +94,8 @@ def frequency_class(counters: np.ndarray) -> np.ndarray:
     return (1 + (counters > least) + (counters > 64 * least)).astype(np.int8)
 
 
-def keys_of(x: np.ndarray, classes: np.ndarray, top: int, whole: int) -> np.ndarray:
-    """Index keys of a sorted shingle set for similarity ``top / whole``.
+def keys_of(x: np.ndarray, classes: np.ndarray, top: int, whole: int) -> tuple[np.ndarray, int, bool]:
+    """Index keys of a sorted shingle set for similarity ``top / whole``, rare shingles first, how many these are, and whether they are all of its rare ones.
 
     Proof: let x and y link, so each lacks at most tau of the other's shingles, and
     let x's prefix end first in the global order. At most tau of the prefix's
@@ -108,11 +108,11 @@ def keys_of(x: np.ndarray, classes: np.ndarray, top: int, whole: int) -> np.ndar
     least = -(-top * n // whole)  # partners hold so many of x's shingles
     tau = n - least
     if not tau:
-        return x[:0]  # only equal sets link, and these are one class
+        return x[:0], 0, False  # only equal sets link, and these are one class
     kind = classes[(x & _U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
     rare = x[kind == 1]
     if len(rare) > tau:
-        return rare[: tau + 1]
+        return rare[: tau + 1], tau + 1, len(rare) == tau + 1
     out = [rare]
     levels = {least.bit_length(), n.bit_length(), (n * whole // top).bit_length()}
     for level in range(min(levels), max(levels) + 1):
@@ -134,7 +134,7 @@ def keys_of(x: np.ndarray, classes: np.ndarray, top: int, whole: int) -> np.ndar
                 for i in range(k):
                     h = tv.mix(h * _U(0x9E3779B97F4A7C15) + c[:, i])
                 out.append(h)
-    return np.concatenate(out)
+    return np.concatenate(out), len(rare), True
 
 
 def combinations(group: list[int], k: int):
@@ -148,16 +148,18 @@ def _entries(size: int, top: int, whole: int, shared):
         classes = shared.value
         for b in batches:
             for s in tv.slices(b.column(0)):
-                key, cls, n = [], [], []
+                key, rows, single = [], [], []
                 for x in tv.shingle_sets(s, size):
                     if len(x):
-                        k = keys_of(x, classes, top, whole)
+                        k, r, full = keys_of(x, classes, top, whole)
                         if len(k):
                             key.append(k)
-                            cls.append(class_id(x))
-                            n.append(len(x))
+                            rows.append((class_id(x), len(x), r, full))
+                            single.append(np.arange(len(k)) < r)
                 times = [len(k) for k in key]
-                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(np.concatenate(key)) if key else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(cls, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], ["key", "cls", "n"])
+                cls, n, r, full = (np.repeat(np.array([row[i] for row in rows], t), times) for i, t in enumerate((np.int64, np.int32, np.int32, bool)))
+                join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
+                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(join(key, _U))), pa.array(cls), pa.array(n), pa.array(r), pa.array(join(single, bool)), pa.array(full)], ["key", "cls", "n", "r", "single", "full"])
 
     return run
 
@@ -222,31 +224,46 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, top: int, whole: int)
 TILE = 2000
 
 
+def _overlaps(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """Shared shingles of each set in ``some`` with each set, by products of 0-1 matrices over the shingles met twice."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    twice = n[column] > 1
+    number = np.cumsum(n > 1) - 1
+    row, column = row[twice], number[column[twice]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(some), len(sets)), np.float32)
+    width = 1024
+    for c in range(0, int((n > 1).sum()), width):
+        at = slice(*np.searchsorted(column, [c, c + width]))
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[at], column[at] - c] = 1
+        out += m[some] @ m.T
+    return out
+
+
 def _tile(size: int, top: int, whole: int):
     """Links across components within one tile: enough of them to join what the tile's pairs join."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls = table.column("cls").to_numpy()
-        root = table.column("root").to_numpy().copy()
-        side = table.column("side").to_numpy()
+        cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
+        _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
         sets = [x for s in tv.slices(table.column("text")) for x in tv.shingle_sets(s, size)]
         length = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets) if sets else np.zeros(0, _U)
-        start = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
         found: list[tuple[int, int]] = []
-        big = np.bincount(np.unique(root, return_inverse=True)[1]) if len(root) else np.zeros(0, int)
-        of = np.unique(root, return_inverse=True)[1] if len(root) else root
-        order = np.argsort(big[of], kind="stable") if len(root) else []
-        for i in order:  # members of small components first; each is compared with all of the others at once
-            other = (root != root[i]) & ((side != side[i]) | (side == 2))
-            other &= (length * whole >= top * length[i]) & (length[i] * whole >= top * length)
-            if not other.any():
+        largest = np.bincount(root).argmax() if len(root) else 0
+        some = np.flatnonzero(root != largest)  # of each pair across components one is here
+        for part in np.array_split(some, len(some) // 500 + 1):
+            if not len(part):
                 continue
-            x = sets[i]
-            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-            both = np.add.reduceat((x[at] == flat).astype(np.int64), start)
-            for j in np.flatnonzero(other & (whole * both >= top * (length + length[i] - both))):
-                if root[j] != root[i]:
+            both = _overlaps(sets, part)
+            ok = whole * both >= top * (length[part][:, None] + length - both)
+            ok &= (root[part][:, None] != root) & ((side[part][:, None] != side) | (side == 2))
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                i = part[i]
+                if root[i] != root[j]:
                     found.append((int(cls[i]), int(cls[j])))
                     root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -264,38 +281,51 @@ def similar_documents(docs: DataFrame, size: int = 5, top: int = 80, whole: int
     classes = spark.sparkContext.broadcast(frequency_class(sketch(first.filter("block is not null").select("block", "counts"))))
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 
-    entries = base.select("text").mapInArrow(_entries(size, top, whole, classes), "key bigint, cls bigint, n int")
-    other = F.xxhash64("cls")
-    # Keys with more than one class, and four leaders for each.
-    shared_keys = entries.groupBy("key").agg(F.min("cls").alias("l0"), F.max("cls").alias("l1"), F.min(F.struct(other, "cls")).getField("cls").alias("l2"), F.max(F.struct(other, "cls")).getField("cls").alias("l3")).filter("l0 != l1")
-    hot = stored(entries.join(shared_keys, "key").groupBy("key", "cls").agg(F.first("n").alias("n"), *[F.first(f"l{i}").alias(f"l{i}") for i in range(4)]), "shared-keys")
-
-    sizes_fit = lambda m, n: (F.least(m, n) * whole >= F.greatest(m, n) * top)
-    star = hot.select("cls", "n", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("leader")).filter("leader != cls").groupBy("cls", "leader").agg(F.first("n").alias("n"))
-    sizes = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("m"))
-    star = star.join(sizes.withColumnRenamed("cls", "leader"), "leader").filter(sizes_fit(F.col("m"), F.col("n")))
-    star = stored(star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "leader-pairs")
+    entries = base.select("text").mapInArrow(_entries(size, top, whole, classes), "key bigint, cls bigint, n int, r int, single boolean, full boolean")
+    shared_keys = entries.groupBy("key").agg(F.min("cls").alias("l0"), F.max("cls").alias("l1")).filter("l0 != l1")
+    hot = stored(entries.join(shared_keys, "key").groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("r").alias("r"), F.first("single").alias("single"), F.first("full").alias("full")), "shared-keys")
+    # Of its n shingles a class shares at most c with one that has all its rare shingles in the index ("full").
+    bound = hot.groupBy("cls").agg(F.first("n").alias("n"), (F.first("n") - F.first("r") + F.sum(F.col("single").cast("int"))).alias("c"), F.first("full").alias("full"))
+    bound = stored(bound, "bounds")
+    members = hot.select("key", "cls").join(bound, "cls")
+
+    def can_link(n: str, c: str, full: str, m: str, d: str, other_full: str):
+        both = F.least(F.when(F.col(other_full), F.col(c)).otherwise(F.col(n)), F.when(F.col(full), F.col(d)).otherwise(F.col(m)), F.col(n), F.col(m))
+        return whole * both >= top * (F.col(n) + F.col(m) - both)
+
+    # Leaders of a key: the classes with the largest shared part, and two others.
+    share = F.col("c") / F.col("n")
+    any_ = F.struct("cls", "n", "c", "full")
+    central = lambda *extra: F.max(F.struct(share, *extra, any_.alias("x"))).getField("x")
+    leaders = members.groupBy("key").agg(F.array_distinct(F.array(central(), central(F.xxhash64("cls")), F.min(any_), F.max(any_))).alias("leaders"))
+    star = members.join(leaders, "key").select(F.col("cls").alias("p"), "n", "c", "full", F.explode("leaders").alias("x")).select("p", "n", "c", "full", F.col("x.cls").alias("q"), F.col("x.n").alias("m"), F.col("x.c").alias("d"), F.col("x.full").alias("g"))
+    star = star.filter((F.col("p") != F.col("q")) & can_link("n", "c", "full", "m", "d", "g"))
+    star = stored(star.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "leader-pairs")
     links = stored(_verified(base, star, reps, size, top, whole), "links")
     root = components(links)
 
-    # What is left: keys that still hold several components.
-    placed = hot.select("key", "cls", "n").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = stored(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("r0 != r1 and members > 2").select("key", "members")
-    left = stored(placed.join(open_keys, "key"), "open-keys")
+    # What is left: keys that still hold several components, of them the classes that some member could link with.
+    left = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    for _ in range(2):
+        # The best a member can do: share its c with a class as small as the key's least.
+        stats = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.min("n").alias("m"), F.max("c").alias("d"), F.min("full").alias("all_full"))
+        both = F.least("c", "d")
+        hopeless = F.col("all_full") & (whole * both < top * (F.col("n") + F.greatest(F.col("m"), both) - both))
+        left = left.select("key", "cls", "n", "c", "full", "root").join(stats.filter("r0 != r1"), "key").filter(~hopeless)
+    left = stored(left.select("key", "cls", "n", "c", "full", "root", "members"), "open-keys")
     small = left.filter(F.col("members") <= few)
-    x, y = small.select("key", F.col("cls").alias("a"), F.col("n").alias("n"), F.col("root").alias("ra")), small.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes_fit(F.col("m"), F.col("n"))).select("a", "b").distinct()
+    x = small.select("key", F.col("cls").alias("a"), "n", "c", "full", F.col("root").alias("ra"))
+    y = small.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("full").alias("g"), F.col("root").alias("rb"))
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & can_link("n", "c", "full", "m", "d", "g")).select("a", "b").distinct()
     pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "rest-pairs")
     more = _verified(base, pairs, reps, size, top, whole)
 
-    large = left.filter(F.col("members") > few)
-    tiles = _tiled(large, base, reps, size, top, whole)
+    tiles = _tiled(left.filter(F.col("members") > few), base, reps, size, top, whole)
     found = links.unionByName(more) if tiles is None else links.unionByName(more).unionByName(tiles)
     root = components(found)
-    placed_rows = rows.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = placed_rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed_rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    placed = rows.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _needed(classes: DataFrame, reps: DataFrame) -> DataFrame:
