@@ -59,6 +59,12 @@ def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, words).withColumn("held_out", out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edit_embedding
+
+    return edit_embedding(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
