@@ -221,7 +221,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, top: int, whole: int)
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-TILE = 2000
+TILE = 1000
 
 
 def _overlaps(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
