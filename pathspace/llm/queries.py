@@ -25,6 +25,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode, encode
+
+    path = _vocabulary("piece_bpe_32k.model")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return decode(encode(_table(spark, sf_dir, "documents"), path), path).select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace(text, F.lit("\u2581"), F.lit(" "))).alias("round_trip"))
+
+
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
