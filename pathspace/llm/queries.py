@@ -18,6 +18,12 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
