@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -318,7 +319,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """The columns of ``coded`` with ``decoded``, the text that ``ids`` stand for."""
-    schema = coded.schema.add("decoded", "string")
+    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
