@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents on word shingles, by prefixes of token combinations.
 
 Documents with equal shingle sets form a class; classes are joined. A sketch of
-2**20 counters over all texts puts shingles into classes of frequency. In the
+2**22 counters over all texts puts shingles into classes of frequency. In the
 global order (frequency class, hash) a class's prefix is extended until, whichever
 tau = n - ceil(t * n) of its shingles a partner lacks, one rare shingle, or k shingles
 of the same bucket of the k-th frequency class, are left in common. Rare
@@ -11,8 +11,9 @@ a bucket. Two linked classes therefore share an index key (proof at ``keys_of``)
 Verification is exact, on whole texts. First each class is compared with a few
 leaders of each of its keys; links make components. Then only keys that hold
 several components matter: all pairs across them, for keys of few members as
-rows, for others in square tiles of bounded size, so no task gets an unbounded
-group and no pair that could link two components is left out.
+rows, for others in square tiles of bounded size (the keys of one main component
+together), so no task gets an unbounded group and no pair that could link two
+components is left out.
 
 Defined results: a document without words or text has an empty set, links with nothing
 and is its own component; one with fewer words than a shingle has its whole sequence
@@ -34,8 +35,8 @@ from .components import components
 from .store import stored
 
 _U = np.uint64
-SKETCH_BITS = 20
-_BLOCK = 4096
+SKETCH_BITS = 22
+_BLOCK = 8192
 NEED_BITS = 23
 
 
@@ -49,7 +50,7 @@ def _sets_and_sketch(size: int):
     """Rows (doc_id, n, cls), and at the end the task's counters in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, kind = np.zeros(1 << SKETCH_BITS, np.int64), pa.int64()
+        counters, kind = np.zeros(1 << SKETCH_BITS, np.uint32), pa.int64()
         names = ["doc_id", "n", "cls", "block", "counts"]
         for b in batches:
             kind = b.column(0).type
@@ -59,12 +60,14 @@ def _sets_and_sketch(size: int):
                     n.append(len(x))
                     cls.append(class_id(x) if len(x) else None)
                     some.append(x & _U((1 << SKETCH_BITS) - 1))
-                counters += np.bincount(np.concatenate(some).astype(np.int64), minlength=len(counters))
+                at, times = np.unique(np.concatenate(some), return_counts=True)
+                counters[at] += times.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())], names)
-        blocks = counters.reshape(-1, _BLOCK)
+        # A task's counter stops at 65,535, far above any bound between classes.
+        blocks = np.minimum(counters, 65_535).astype("<u2").reshape(-1, _BLOCK)
         at = np.flatnonzero(blocks.any(1))
         k = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(at, pa.int32()), pa.array([blocks[i].astype("<u4").tobytes() for i in at], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names)
 
     return run
 
@@ -73,24 +76,24 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[i] = total.get(i, 0) + np.frombuffer(x, "<u4").astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+            total[i] = total.get(i, 0) + np.frombuffer(x, "<u2").astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
 
 def sketch(blocks: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added up block by block; 8 MB whatever the input."""
+    """The counters of all tasks, added up block by block; 16 MB come to the driver whatever the input."""
     out = np.zeros((1 << SKETCH_BITS) // _BLOCK * _BLOCK, np.int64).reshape(-1, _BLOCK)
-    # Added up twice: by shuffle on the block, so no task holds more than its blocks.
+    # By shuffle on the block, so no task holds more than its blocks.
     summed = blocks.repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
     for block, counts in summed.collect():
-        out[block] += np.frombuffer(counts, "<i8")
+        out[block] += np.frombuffer(counts, "<u4")
     return out.ravel()
 
 
 def frequency_class(counters: np.ndarray) -> np.ndarray:
     """1 for counters that hold no more than chance would put there, 2 for frequent, 3 for very frequent shingles."""
     mean = counters.mean()
-    least = 4 + mean + 8 * np.sqrt(mean)
+    least = 4 + mean + 5 * np.sqrt(mean)
     return (1 + (counters > least) + (counters > 64 * least)).astype(np.int8)
 
 
@@ -221,7 +224,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, top: int, whole: int)
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-TILE = 1000
+TILE = 2000
 
 
 def _overlaps(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
@@ -289,9 +292,10 @@ def similar_documents(docs: DataFrame, size: int = 5, top: int = 80, whole: int
     bound = stored(bound, "bounds")
     members = hot.select("key", "cls").join(bound, "cls")
 
-    def can_link(n: str, c: str, full: str, m: str, d: str, other_full: str):
-        both = F.least(F.when(F.col(other_full), F.col(c)).otherwise(F.col(n)), F.when(F.col(full), F.col(d)).otherwise(F.col(m)), F.col(n), F.col(m))
-        return whole * both >= top * (F.col(n) + F.col(m) - both)
+    def can_link(n, c, full, m, d, other_full):
+        n, c, full, m, d, other_full = (F.col(x) if isinstance(x, str) else x for x in (n, c, full, m, d, other_full))
+        both = F.least(F.when(other_full, c).otherwise(n), F.when(full, d).otherwise(m), n, m)
+        return whole * both >= top * (n + m - both)
 
     # Leaders of a key: the classes with the largest shared part, and two others.
     share = F.col("c") / F.col("n")
@@ -306,13 +310,8 @@ def similar_documents(docs: DataFrame, size: int = 5, top: int = 80, whole: int
 
     # What is left: keys that still hold several components, of them the classes that some member could link with.
     left = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    for _ in range(2):
-        # The best a member can do: share its c with a class as small as the key's least.
-        stats = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.min("n").alias("m"), F.max("c").alias("d"), F.min("full").alias("all_full"))
-        both = F.least("c", "d")
-        hopeless = F.col("all_full") & (whole * both < top * (F.col("n") + F.greatest(F.col("m"), both) - both))
-        left = left.select("key", "cls", "n", "c", "full", "root").join(stats.filter("r0 != r1"), "key").filter(~hopeless)
-    left = stored(left.select("key", "cls", "n", "c", "full", "root", "members"), "open-keys")
+    left = _open(left, lambda p, q: can_link(*(p(x) for x in ("n", "c", "full")), *(q(x) for x in ("n", "c", "full"))))
+    left = stored(left.select("key", "cls", "n", "c", "full", "root", "main", "members"), "open-keys")
     small = left.filter(F.col("members") <= few)
     x = small.select("key", F.col("cls").alias("a"), "n", "c", "full", F.col("root").alias("ra"))
     y = small.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("full").alias("g"), F.col("root").alias("rb"))
@@ -328,6 +327,25 @@ def similar_documents(docs: DataFrame, size: int = 5, top: int = 80, whole: int
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _open(left: DataFrame, linkable) -> DataFrame:
+    """Rows (key, cls, n, c, full, root) of keys with several components, with ``members``; without those that no member of another component could link with.
+
+    A key's main component is that of most members. A member outside it stays if it could link with some size and shared
+    part that occurs in the key; one inside if it could with those of the members that stayed outside.
+    """
+    size = left.groupBy("key", "root").agg(F.count("*").alias("k"))
+    main = size.groupBy("key").agg(F.max(F.struct("k", "root")).getField("root").alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
+    here = left.select("key", "cls", "n", "c", "full", "root").join(main, "key")
+    profile = F.struct("n", "c", "full")
+    inside = F.col("root") == F.col("main")
+    could = lambda seen: F.exists(seen, lambda p: linkable(lambda x: F.col(x), lambda x: p[x]))
+    outside = here.filter(~inside).join(here.groupBy("key").agg(F.collect_set(profile).alias("seen")), "key").filter(could("seen")).drop("seen")
+    within = here.filter(inside).join(outside.groupBy("key").agg(F.collect_set(profile).alias("seen")), "key").filter(could("seen")).drop("seen")
+    kept = outside.unionByName(within)
+    again = kept.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key", "members")
+    return kept.join(again, "key")
+
+
 def _needed(classes: DataFrame, reps: DataFrame) -> DataFrame:
     return stored(reps.join(classes.distinct(), "cls", "left_semi"), "needed")
 
@@ -338,12 +356,14 @@ def _verified(base: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, top
 
 
 def _tiled(large: DataFrame, base: DataFrame, reps: DataFrame, size: int, top: int, whole: int) -> DataFrame | None:
-    """Links found in square tiles of the large keys; None if there is no such key."""
+    """Links found in square tiles of the large keys' members; None if there is no such key."""
     if large.limit(1).count() == 0:
         return None
-    cuts = F.ceil(F.col("members") / TILE).cast("int")
-    cell = large.withColumn("cuts", cuts).withColumn("i", F.pmod(F.xxhash64("cls", "key"), F.col("cuts")).cast("int"))
-    cell = cell.select("key", "cls", "root", "i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"))
-    tile = cell.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "cls", "root", F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
+    # Keys of one main component hold much the same members: each is taken once for all of them.
+    once = stored(large.select("main", "cls", "root").distinct(), "large-members")
+    sized = once.join(once.groupBy("main").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts")), "main")
+    cell = sized.withColumn("i", F.pmod(F.xxhash64("cls", "main"), F.col("cuts")).cast("int"))
+    cell = cell.select("main", "cls", "root", "i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"))
+    tile = cell.select("main", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "cls", "root", F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
     texts = _texts(base, _needed(large.select("cls"), reps), size)
-    return tile.join(texts, "cls").groupBy("key", "p", "q").applyInArrow(_tile(size, top, whole), "a bigint, b bigint")
+    return tile.join(texts, "cls").groupBy("main", "p", "q").applyInArrow(_tile(size, top, whole), "a bigint, b bigint")
