@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .frequent import at_most
 from .store import stored
 
 END = 0xFF
@@ -197,17 +198,6 @@ class Model:
     counts: np.ndarray
 
 
-def _at_most(df: DataFrame, n: str, most: int) -> float:
-    """The least count such that at most ``most`` rows have it or more."""
-    step = F.floor(F.log2(n) * 16)
-    least, total = None, 0
-    for level, k in df.groupBy(step.alias("level")).count().orderBy(F.desc("level")).collect():
-        if total + k > most:
-            break
-        least, total = level, total + k
-    return float("inf") if least is None else 2 ** (least / 16) * (1 - 1e-12)
-
-
 def _column(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(kind)
 
@@ -218,7 +208,7 @@ def learn(train: DataFrame, order: int = 5, nodes: int = 100_000, frequent: int
     words, cell = counted.filter(F.col("kind") == _WORD).select("key", "n"), counted.filter(F.col("kind") == _CELL)
     texts = train.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = _at_most(words, "n", frequent)
+    least = at_most(words, "n", frequent)
     shared = words.filter(F.col("n") >= least).toArrow()
 
     mask = lambda k: F.lit((1 << 8 * (k + 1)) - 1)
@@ -226,7 +216,7 @@ def learn(train: DataFrame, order: int = 5, nodes: int = 100_000, frequent: int
     by_order = stored(cell.select(per_order, "n").groupBy("x.k", "x.cell").agg(F.sum("n").alias("n")), "lm-cells").withColumn("context", F.shiftright("cell", 8))
     contexts = by_order.groupBy("k", "context").agg(F.sum("n").alias("total"))
     # A shorter suffix is met at least as often, so whatever the bound a kept context's suffixes are kept.
-    enough = _at_most(contexts, "total", nodes)
+    enough = at_most(contexts, "total", nodes)
     kept = contexts.filter((F.col("total") >= enough) | (F.col("k") == 0)).select("k", "context")
     got = by_order.join(F.broadcast(kept), ["k", "context"], "left_semi").select("k", "cell", "n").toArrow()
     k, c, n = _column(got, "k"), _column(got, "cell", np.uint64), _column(got, "n")

@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import at_most
+from .store import stored
+
 # Words that mark hosts as unwanted, and frequent parts of host names.
 SPAM_WORDS = """ads adult banner bet bets betting bonus bookie cams casino cheap cialis click clicks coupon
 crack cracked crypto dating deals discount earn escort farm forex free gamble gambling hack hot jackpot keygen
@@ -96,9 +99,9 @@ def tokens_of(host: str, path: str, log_p: dict[str, float], unknown: float, cac
 
 
 def _counts(words: Column, df: DataFrame, most: int) -> list[tuple[str, int]]:
-    """The ``most`` most frequent words with their counts."""
-    counted = df.select(F.explode(words).alias("word")).filter(F.length("word").between(1, 24)).groupBy("word").agg(F.count("*").alias("n"))
-    return [(r[0], r[1]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    """At most ``most`` words with their counts, the most frequent."""
+    counted = stored(df.select(F.explode(words).alias("word")).filter(F.length("word").between(1, 24)).groupBy("word").agg(F.count("*").alias("n")), "url-words")
+    return [(r[0], r[1]) for r in counted.filter(F.col("n") >= at_most(counted, "n", most)).collect()]
 
 
 def unigrams(pages: DataFrame, most: int) -> tuple[dict[str, float], float]:
@@ -137,9 +140,10 @@ def train(tokens: DataFrame, most: int, alpha: float = 0.5) -> dict[str, float]:
     words = F.concat("host_words", "path_words")
     n = {bool(r[0]): r[1] for r in tokens.groupBy("seeded").count().collect()}
     per = tokens.select("seeded", F.explode(words).alias("word")).groupBy("word").agg(F.sum(F.col("seeded").cast("int")).alias("y1"), F.sum((~F.col("seeded")).cast("int")).alias("y0"))
+    per = stored(per.withColumn("n", F.col("y1") + F.col("y0")), "url-tokens")
     totals = per.agg(F.sum("y1"), F.sum("y0")).first()
     t1, t0 = (x or 0 for x in totals)
-    kept = per.orderBy(F.desc(F.col("y1") + F.col("y0")), "word").limit(most).collect()
+    kept = per.filter(F.col("n") >= at_most(per, "n", most)).select("word", "y1", "y0").collect()
     size = len(kept) + 1 + len(SPAM_WORDS)
     odds = lambda a, b: math.log((a + alpha) / (t1 + alpha * size)) - math.log((b + alpha) / (t0 + alpha * size))
     out = {w: odds(50, 0) for w in SPAM_WORDS} if not t1 else {w: odds(1, 0) for w in SPAM_WORDS}
