@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("pii", pii), ("packing", packing)]
 
-#: No stage but the base rules can be said in SQL; tests/llm/test_pipeline.py holds the rows against a plain version.
+#: No stage but the base rules can be said in SQL; tests/llm holds the operators against plain versions and the stages against what must hold.
 ORACLE_SQL = None
 
 
