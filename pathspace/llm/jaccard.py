@@ -110,8 +110,8 @@ def keys_of(x: np.ndarray, classes: np.ndarray, top: int, whole: int) -> tuple[n
     n = len(x)
     least = -(-top * n // whole)  # partners hold so many of x's shingles
     tau = n - least
-    if not tau:
-        return x[:0], 0, False  # only equal sets link, and these are one class
+    if not tau and n * whole // top == n:
+        return x[:0], 0, False  # no larger partner either: only equal sets link, and these are one class
     kind = classes[(x & _U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
     rare = x[kind == 1]
     if len(rare) > tau:

@@ -302,6 +302,24 @@ def test_linked_sets_share_a_key(n, edits, seed):
         assert set(jaccard.keys_of(x, classes, 80, 100)[0].tolist()) & set(jaccard.keys_of(y, classes, 80, 100)[0].tolist())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 12), st.integers(0, 3), st.integers(0, 2), st.integers(0, 2**31))
+def test_linked_sets_of_unequal_size_share_a_key(n, more, less, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    y = np.unique(np.concatenate([rng.permutation(x)[: max(1, len(x) - less)], rng.integers(0, 2**63, more, dtype=np.uint64)]))
+    classes = rng.integers(1, 4, 1 << jaccard.SKETCH_BITS).astype(np.int8)
+    both = len(np.intersect1d(x, y))
+    if 100 * both >= 80 * (len(x) + len(y) - both) and not np.array_equal(x, y):
+        assert set(jaccard.keys_of(x, classes, 80, 100)[0].tolist()) & set(jaccard.keys_of(y, classes, 80, 100)[0].tolist())
+
+
+def test_jaccard_links_four_shingles_with_five(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "z a b c d e f g h"), (4, "a b c d e f g x")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and got[2] == (5, 1)
+
+
 def test_jaccard_odd_rows(spark, edge):
     got = jaccard.similar_documents(edge).collect()
     assert len(got) == len(EDGE) and {r.component_id for r in got if r.n_shingles == 1} == {4}
