@@ -44,8 +44,9 @@ PATTERNS = {
     "person": r"(?=[MFSHPDгГ])(?<!\p{L})" + _TITLE + r" \p{Lu}\p{L}+(?:[ \-]\p{Lu}\p{L}+){0,2}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity holds one of these; texts without are left alone after one cheap look.
-_HINT = r"@|\d\d|[=:]|\b" + _TITLE + " "
+#: Every entity holds one of these (e-mails @; IPv6, values after token= and the like [=:]; IPv4 \d\.\d; keys their prefix or 32 hex digits; all other
+#: numbers two digits in a row; names their title); texts without are left alone after one cheap look.
+_HINT = r"@|\d\d|[=:]|\d\.\d|AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-]|[0-9a-f]{32}|(?<!\p{L})" + _TITLE + " "
 _EDGE = "\u0001"
 
 # Characters that stand for one another, by script.

@@ -411,6 +411,27 @@ def test_pii(spark, edge):
     assert pii.replace_pii(edge).count() == len(EDGE) and pii.replace_pii(edge).columns == edge.columns
 
 
+ENTITIES = {
+    "email": ["x@y.co"],
+    "ipv6": ["a:b:c:d:e:f:a:b"],
+    "ipv4": ["8.8.8.8", "1.1.1.1", "192.168.0.1"],
+    "secret": ["AKIA" + "QWERTYUIOPASDFGH", "ghp_abcdefghijklmnopqrst", "gho-abcdefghijklmnopqrst", "sk-a1b2c3d4e5f6g7h8i9j0", "pk_abcdefghijklmnopqrst", "xoxb-abcdefghijklmnopqrst", "xoxp-abcdefghijklmnopqrst", "abcdefab" * 4, "a1b2c3d4" * 4, "token=abcdefghij"],
+    "iban": ["DE89 3704 0044 0532 0130 00"],
+    "ssn": ["123-45-6789"],
+    "card": ["4111 1111 1111 1111"],
+    "phone": ["+1 (2) 34 56", "(555) 555-1234", "555.555.1234"],
+    "person": ["Mr. Smith", "госпожа Иванова", "Dr Who"],
+}
+
+
+def test_pii_found_without_other_hints(spark):
+    assert ENTITIES.keys() == pii.PATTERNS.keys()
+    rows = [(f"so {e} it is", e) for es in ENTITIES.values() for e in es] + [("a 1 b 2.x sky pkg", None)]
+    df = spark.createDataFrame(rows, "text string, e string")
+    for r in pii.replace_pii(df, count="n").collect():
+        assert (r.n == 0 and r.text == "a 1 b 2.x sky pkg") if r.e is None else (r.n == 1 and r.e.split("=")[-1] not in r.text), r.e
+
+
 def test_pii_surrogates_are_distinct(spark):
     many = spark.createDataFrame([(f"{a}{b}@x{c}.example.com",) for a in "abcdefgh" for b in "mnop" for c in range(6)], "entity string")
     got = pii.resolve(many, "k").collect()
