@@ -32,11 +32,12 @@ MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "господин", "Госп
 OTHER_TITLES = ["Dr", "Prof"]
 _TITLE = r"(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + r")\.?"
 
+# Repeats are open-ended and possessive, so an entity of any length is found whole and without going back; a domain name has 127 labels at most (RFC 1035).
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,256}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]{1,63}\.){1,127}\p{L}{2,24}",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "secret": r"""(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][0-9A-Za-z_\-]{16,128})(?![0-9A-Za-z])|(?:(?<=[=:"'])|(?<=[=:] ))(?<=(?:token|secret|passwd|password|api_key|apikey) {0,2}[=:] {0,2}["']?)[^\s"']{8,128}""",
+    "secret": r"""(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][0-9A-Za-z_\-]{16,}+)(?![0-9A-Za-z])|(?:(?<=[=:"'])|(?<=[=:] ))(?<=(?:token|secret|passwd|password|api_key|apikey) {0,2}[=:] {0,2}["']?)[^\s"']{8,}+""",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d+])(?:(?:\d{4}[ \-]){3}\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
@@ -80,17 +81,19 @@ def _pick(choices: str, h: Column) -> Column:
 def _swap(text: Column, seed: list[Column], hexadecimal: bool = False) -> Column:
     """Each letter and digit by a keyed one of its alphabet; all else stays. The place counts letters and digits only, so formats don't matter."""
 
-    def one(c: Column, i: Column) -> Column:
-        place = F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-        h = F.xxhash64(*seed, place)
+    def one(x: Column, i: Column) -> Column:
+        c = F.substring(x, 1, 1)
+        h = F.xxhash64(*seed, i + 1)
         out = F.when(c.rlike(r"^\d$"), _pick("0123456789", h))
         if hexadecimal:
             out = out.when(c.rlike("^[a-f]$"), _pick("abcdef", h)).when(c.rlike("^[A-F]$"), _pick("ABCDEF", h))
         for a in _ALPHABETS:
             out = out.when(F.instr(F.lit(a + _ALSO.get(a, "")), c) > 0, _pick(a, h))
-        return out.otherwise(c)
+        return F.concat(out.otherwise(c), F.substring(x, F.lit(2), F.length(x)))
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+    # Each letter or digit with what follows up to the next, so the work grows with the length, not its square.
+    cut = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}][^\p{L}\p{N}]*+"), F.lit(0))
+    return F.concat(F.regexp_extract(text, r"^[^\p{L}\p{N}]*+", 0), F.array_join(F.transform(cut, one), ""))
 
 
 def _luhn_digit(digits: Column) -> Column:

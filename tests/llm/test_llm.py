@@ -432,6 +432,18 @@ def test_pii_found_without_other_hints(spark):
         assert (r.n == 0 and r.text == "a 1 b 2.x sky pkg") if r.e is None else (r.n == 1 and r.e.split("=")[-1] not in r.text), r.e
 
 
+def test_pii_takes_long_entities_whole(spark):
+    long = "a1B2c3D4e5" * 70
+    jwt = "-".join(["eyJhbGciOiJIUzI1NiJ9", "abcDEF123_" * 60, "Q" * 300])
+    rows = ["0123456789abcdef" * 40, "sk_" + long, "ghp_" + long, f"token={jwt}", f"password: {long}", long + "@mail.example.org", "jo@" + "a9." * 30 + "org", "secret=" + "x7" * 20_000]
+    df = spark.createDataFrame([(i, f"so {t} end") for i, t in enumerate(rows)], "i int, text string")
+    for r in pii.replace_pii(df, count="n").collect():
+        old = rows[r.i].removeprefix("token=").removeprefix("password: ").removeprefix("secret=")
+        new = r.text.removeprefix("so ").removesuffix(" end").removeprefix("token=").removeprefix("password: ").removeprefix("secret=")
+        assert r.n == 1 and not set(re.findall(".{12}", new)) & {old[k : k + 12] for k in range(len(old))}, r.i
+        assert "@" in old or len(new) == len(old)
+
+
 def test_pii_surrogates_are_distinct(spark):
     many = spark.createDataFrame([(f"{a}{b}@x{c}.example.com",) for a in "abcdefgh" for b in "mnop" for c in range(6)], "entity string")
     got = pii.resolve(many, "k").collect()
