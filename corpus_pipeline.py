@@ -28,17 +28,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies the document with the least id; rows with equal ids and texts are one document."""
-    found = similar_documents(docs)
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    again = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.limit(1).count() == 0:
-        return kept
-    # Ids that several rows share: one row of each.
-    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.xxhash64("text"), "text")).alias("x")
-    repeated = kept.join(again, kept.doc_id.eqNullSafe(again.doc_id), "left_semi").groupBy("doc_id").agg(first).select("x.*")
-    return kept.join(again, kept.doc_id.eqNullSafe(again.doc_id), "left_anti").unionByName(repeated)
+    """Keeps of each component of near copies the row with the least id, then the least text hash; rows with equal ids and texts are one document.
+
+    Rows are told apart by id and text, so unlike texts under one id, or without an id, are documents of their own. Null ids
+    come last; as they aren't equal ids, rows without id and words are all kept.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = similar_documents(docs.select(key.alias("doc_id"), "text"))
+    keep = found.filter(F.col("component_id") == F.col("doc_id")).groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    # Ids and texts that several rows share, unless there is neither, are folded.
+    keep = stored(keep.select("doc_id.*", ((F.col("copies") > 1) & ~(F.col("doc_id.unknown") & (F.col("n") == 0))).alias("fold")).drop("unknown"), "near-kept")
+    kept = lambda fold: docs.alias("d").join(keep.filter(F.col("fold") == fold), F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("d.text") == F.col("h")), "left_semi")
+    if keep.filter("fold").limit(1).count() == 0:
+        return kept(False)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    once = kept(True).groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min_by(row, row).alias("x")).select("x.*")
+    return kept(False).unionByName(once)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

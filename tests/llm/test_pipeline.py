@@ -23,3 +23,13 @@ def test_stages(spark):
     clean = docs.join(good, "doc_id", "left_semi").count()
     assert seen["toxicity"].join(good, "doc_id", "left_semi").count() >= 0.85 * clean
     assert {r.doc_id for r in seen["packing"].select("doc_id").distinct().collect()} == {r.doc_id for r in seen["pii"].collect()}
+
+
+def test_near_duplicates_keeps_one_row_per_component(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (None, text("c")), (None, text("d")), (None, text("d")), (2, text("a") + " more"), (2, text("e")), (3, text("f")), (4, text("f").upper()), (None, text("f")), (5, ""), (5, ""), (6, None), (6, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = pipeline.near_duplicates(spark, docs, DATA)
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (2, text("e")), (3, text("f")), (5, ""), (6, None), (None, ""), (None, "")]
+    by = lambda x: (str(x[0]), str(x[1]))
+    assert got.columns == docs.columns and sorted([(r.doc_id, r.text) for r in got.collect()], key=by) == sorted(want, key=by)
