@@ -2,11 +2,13 @@
 
 Two models learn from the training documents: add-one word unigrams, whose
 counts cover every word, and prediction by partial matching (PPM): a trie of byte
-contexts up to ``order`` bytes, escape method C, symbol exclusion. The trie keeps
-whole contexts, the most frequent first, up to ``nodes``; a context that isn't
-kept is scored from its longest kept suffix. So its table, which is broadcast, has
-at most nodes * 257 cells whatever the corpus. Texts end with a symbol of their
-own, byte 0xFF, which UTF-8 never holds; contexts of first bytes are padded with it.
+contexts up to ``order`` bytes, escape method C, symbol exclusion. All its counts
+stay in a stored table. As a fast path, the ``nodes`` most frequent contexts are broadcast
+as a trie, which decides positions whose whole context it holds. The other positions' cells
+(context and symbol) are counted by text, meet the training counts with the same last 3 context
+bytes by a shuffle, are scored there from all contexts, and go back by a shuffle join. Contexts
+of fewer than 3 bytes are broadcast whole; the alphabet bounds them, not the corpus. Texts end with
+a symbol of their own, byte 0xFF, which UTF-8 never holds; contexts of first bytes are padded with it.
 
 Words are counted by 64-bit hash. Frequent words (``frequent`` at most) are
 looked up in a broadcast table; the others, none of which is a hot key, meet their
@@ -20,7 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from .store import stored
 
 END = 0xFF
 _WORD, _CELL = 0, 1
+_GROUP = 3  # rare contexts are dealt by so many of their last bytes
 
 
 def fold(doc_id: str | Column, k: int) -> Column:
@@ -76,9 +79,10 @@ class Trie:
     symbol: np.ndarray  # byte -> symbol number; 0 for bytes never seen
     child: np.ndarray
     log10p: np.ndarray
+    whole: int = 0  # nodes from here on are contexts of ``order`` bytes
 
-    def score(self, data: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """log10 probability at each predicted position."""
+    def place(self, data: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The node of the longest kept context at each predicted position."""
         at = np.flatnonzero(mask)
         sym = self.symbol[data]
         width = self.child.shape[1]
@@ -90,7 +94,12 @@ class Trie:
             if not more.all():
                 live, got = live[more], got[more]
             node[live] = got
-        return self.log10p.ravel()[node * width + sym[at]].astype(np.float64)
+        return node
+
+    def score(self, data: np.ndarray, mask: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability at each predicted position."""
+        node = self.place(data, mask) if node is None else node
+        return self.log10p.ravel()[node * self.child.shape[1] + self.symbol[data[mask]]].astype(np.float64)
 
 
 def build_trie(order: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
@@ -138,7 +147,66 @@ def build_trie(order: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
         none_left = rest == 0
         p[none_left] /= (1 - escape[none_left])[:, None]
         out[a : a + len(node)] = np.log10(np.maximum(p, 1e-300))
-    return Trie(order, symbol, child, out)
+    return Trie(order, symbol, child, out, int(first[-2]))
+
+
+@dataclass
+class Level:
+    """Cells of contexts of one length and their counts; contexts, their totals and numbers of symbols, and the total of these symbols after the context one byte shorter."""
+
+    cell: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+    total: np.ndarray
+    symbols: np.ndarray
+    shorter: np.ndarray
+
+
+def _low(x: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes."""
+    return x & np.uint64((1 << 8 * n) - 1)
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether x is there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+def level(k: int, cell: np.ndarray, n: np.ndarray, below: Level | None) -> Level:
+    """cell: numbers of k + 1 bytes, repeated or not; below: the level of k - 1, which holds all their suffixes."""
+    cell, at = np.unique(cell, return_inverse=True)
+    n = np.bincount(at, n, len(cell))
+    context, at = np.unique(cell >> np.uint64(8), return_inverse=True)
+    shorter = np.zeros(len(cell))
+    if below is not None and len(cell):
+        shorter = below.n[_find(below.cell, _low(cell, k))[0]]
+    sums = lambda w: np.bincount(at, w, len(context))
+    return Level(cell, n, context, sums(n), sums(None).astype(np.float64), sums(shorter))
+
+
+def exact_log10(asked: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 probability of cells of len(levels) bytes from all counts; as ``build_trie``, but for the asked cells alone."""
+    p, escape, done = np.zeros(len(asked)), np.ones(len(asked)), np.zeros(len(asked), bool)
+    out_total, out_symbols = np.zeros(len(asked)), np.zeros(len(asked))  # excluded
+    for k in range(len(levels) - 1, -1, -1):
+        x = levels[k]
+        if not len(x.cell):
+            continue
+        at, met = _find(x.context, _low(asked >> np.uint64(8), k))
+        cell, has = _find(x.cell, _low(asked, k + 1))
+        t, d = np.where(met, x.total[at] - out_total, 0), np.where(met, x.symbols[at] - out_symbols, 0)
+        whole = np.maximum(t + d, 1)
+        hit = met & has & ~done
+        p = np.where(hit, escape * x.n[cell] / whole, p)
+        done |= hit
+        escape = np.where(d > 0, escape * d / whole, escape)
+        out_total, out_symbols = np.where(met, x.shorter[at], 0), np.where(met, x.symbols[at], 0)
+    rest = 256 - len(levels[0].cell)
+    p = np.where(done, p, escape / max(rest, 1)) if rest else p / (1 - escape)
+    return np.log10(np.maximum(p, 1e-300))
 
 
 def adaptive_log10(text: str, order: int = 4) -> float:
@@ -196,6 +264,8 @@ class Model:
     end_count: int
     words: np.ndarray
     counts: np.ndarray
+    short: list[Level]
+    cells: DataFrame | None  # key, n of all training cells; stays with the driver
 
 
 def _column(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
@@ -221,13 +291,54 @@ def learn(train: DataFrame, order: int = 5, nodes: int = 100_000, frequent: int
     got = by_order.join(F.broadcast(kept), ["k", "context"], "left_semi").select("k", "cell", "n").toArrow()
     k, c, n = _column(got, "k"), _column(got, "cell", np.uint64), _column(got, "n")
     trie = build_trie(order, [(c[k == i], n[k == i]) for i in range(order + 1)])
-    return Model(trie, int(total) + texts, int(distinct) + (texts > 0), texts, _column(shared, "key").view(np.uint64), _column(shared, "n")), words
+    few = by_order.filter(F.col("k") < min(_GROUP, order)).select("k", "cell", "n").toArrow()
+    k, c, n = _column(few, "k"), _column(few, "cell", np.uint64), _column(few, "n")
+    short: list[Level] = []
+    for i in range(min(_GROUP, order)):
+        short.append(level(i, c[k == i], n[k == i], short[-1] if short else None))
+    return Model(trie, int(total) + texts, int(distinct) + (texts > 0), texts, _column(shared, "key").view(np.uint64), _column(shared, "n"), short, cell.select("key", "n")), words
+
+
+def _scored_cells(order: int, shared):
+    """Batches (suffix, key, n) in order of the suffix, the last ``_GROUP`` context bytes; n is null for cells asked for. Gives key and value, the log10 probability."""
+
+    def give(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        asked = np.isnan(n)
+        asked, key, n = key[asked], key[~asked], n[~asked]
+        levels = list(shared.value.short)
+        for k in range(len(levels), order + 1):
+            levels.append(level(k, _low(key, k + 1), n, levels[-1] if levels else None))
+        return pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int64)), pa.array(exact_log10(asked, levels))], ["key", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            held.append([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64), b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)])
+            if sum(len(x[0]) for x in held) > 300_000:
+                suffix, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(suffix, suffix[-1]))  # the last suffix may go on
+                if cut:
+                    yield give(key[:cut], n[:cut])
+                held = [[suffix[cut:], key[cut:], n[cut:]]]
+        if held:
+            _, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield give(key, n)
+
+    return run
+
+
+def _times(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, row), and how often each occurs."""
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return key[first], row[first], np.diff(np.append(first, len(key)))
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """doc_id, held_out's input columns left to the caller: n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(replace(model, cells=None))
     base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     whole = model.train_tokens + model.distinct + 1
@@ -246,45 +357,55 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 sums = np.bincount(w.row[known], log_of[at[known]], s.n) + np.log10(m.end_count + 1.0) + lowest
                 data, span = padded(s, m.trie.order)
                 mask = predicted(span, len(data))
+                node = m.trie.place(data, mask)
+                decided = node >= m.trie.whole
                 p = np.zeros(len(data) + 1)
-                p[:-1][mask] = m.trie.score(data, mask)
+                p[:-1][mask] = np.where(decided, m.trie.score(data, mask, node), 0)
                 p = np.add.reduceat(p, span.T.ravel())[::2] if s.n else p[:0]
-                rare, row = w.hash[~known], w.row[~known]
-                order = np.lexsort((rare, row))
-                rare, row = rare[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rare)))
+                of = np.repeat(np.arange(s.n), span[1] - span[0])
+                rare, row, times = _times(w.hash[~known], w.row[~known])
+                cell, cell_row, cell_times = _times(cells(data, mask, m.trie.order)[~decided], of[~decided])
+                sort = np.repeat(np.array([_WORD, _CELL], np.int8), [len(rare), len(cell)])
+                rare, row, times = np.concatenate([rare, cell]), np.concatenate([row, cell_row]), np.concatenate([times, cell_times])
                 rid = b.column(0).slice(s.first, s.n)
-                k = len(first)
+                k = len(rare)
                 none = lambda t, k=k: pa.nulls(k, t)
                 some = lambda x, t, k=k: pa.concat_arrays([pa.array(x, t), none(t)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([rid, rid.take(pa.array(row[first]))]),
+                        pa.concat_arrays([rid, rid.take(pa.array(row))]),
                         pa.concat_arrays([b.column(1).slice(s.first, s.n), none(b.column(1).type)]),
                         some(w.count + 1, pa.int64()),
                         some(n_known, pa.int64()),
                         some(sums, pa.float64()),
                         some(p, pa.float64()),
-                        pa.concat_arrays([pa.nulls(s.n, pa.int64()), pa.array(tv.signed(rare[first]))]),
+                        pa.concat_arrays([pa.nulls(s.n, pa.int64()), pa.array(tv.signed(rare))]),
                         pa.concat_arrays([pa.nulls(s.n, pa.int64()), pa.array(times.astype(np.int64))]),
+                        pa.concat_arrays([pa.nulls(s.n, pa.int8()), pa.array(sort)]),
                     ],
-                    ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "key", "times"],
+                    ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "key", "times", "kind"],
                 )
 
-    rows = base.mapInArrow(run, f"rid bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, key bigint, times bigint")
-    # A row without a word gets a key of its own, which is no word's but for a hash that would collide; it then has no ``times``.
-    met = rows.withColumn("key", F.coalesce("key", F.xxhash64("rid"))).join(words.withColumnRenamed("n", "c"), "key", "left")
-    c = F.coalesce("c", F.lit(0))
+    schema = f"rid bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, key bigint, times bigint, kind tinyint"
+    rows = stored(base.mapInArrow(run, schema), "lm-rows")
+    order = model.trie.order
+    asked = rows.filter(F.col("kind") == _CELL).select("key").distinct()
+    both = model.cells.select("key", "n").unionByName(asked.withColumn("n", F.lit(None).cast("bigint")))
+    dealt = both.select(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _GROUP) - 1)).alias("suffix"), "key", "n").repartition("suffix").sortWithinPartitions("suffix")
+    scored = dealt.mapInArrow(_scored_cells(order, shared), "key bigint, value double")
+    values = words.select(F.lit(_WORD).cast("tinyint").alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(scored.select(F.lit(_CELL).cast("tinyint").alias("kind"), "key", "value"))
+    # A row without a word gets a kind and a key of its own, so it has no value.
+    met = rows.withColumn("key", F.coalesce("key", F.xxhash64("rid"))).withColumn("kind", F.coalesce("kind", F.lit(2).cast("tinyint"))).join(values, ["kind", "key"], "left")
+    word, c = F.col("kind") == _WORD, F.coalesce("value", F.lit(0.0))
     return (
         met.groupBy("rid")
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.max("n_tokens").alias("n_tokens"),
-            (F.max("n_known") + F.coalesce(F.sum(F.when(c > 0, F.col("times"))), F.lit(0))).alias("n_known"),
+            (F.max("n_known") + F.coalesce(F.sum(F.when(word & (c > 0), F.col("times"))), F.lit(0))).alias("n_known"),
             F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
-            (F.max("base_score") + F.coalesce(F.sum(F.col("times") * (F.log10(c + 1.0) + lowest)), F.lit(0.0))).alias("base_score"),
-            F.max("score").alias("score"),
+            (F.max("base_score") + F.coalesce(F.sum(F.when(word, F.col("times") * (F.log10(c + 1.0) + lowest))), F.lit(0.0))).alias("base_score"),
+            (F.max("score") + F.coalesce(F.sum(F.when(F.col("kind") == _CELL, F.col("times") * F.col("value"))), F.lit(0.0))).alias("score"),
         )
         .drop("rid")
     )

@@ -171,6 +171,34 @@ def test_trie_is_a_distribution_and_matches_plain_ppm():
     assert lm.adaptive_log10("abababababababab") / 17 > lm.adaptive_log10("abcdefgh") / 9
 
 
+@pytest.mark.parametrize("nodes", [0, 30, 100_000])
+def test_scores_use_all_contexts_whatever_the_trie(spark, nodes):
+    train, new, order = ["abracadabra abracadabra", "abra cadaver", "é ab", "cadabra"], ["abracadaver", "", "zé abra", "abracadabra abracadabra"], 5
+    counts = collections.defaultdict(collections.Counter)
+    for t in train:
+        b = b"\xff" * order + t.encode() + b"\xff"
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                counts[b[i - k : i]][b[i]] += 1
+
+    def plain(context, sym):
+        out, p = set(), 1.0
+        for k in range(order, -1, -1):
+            c = {x: n for x, n in counts.get(context[order - k :], {}).items() if x not in out}
+            if c:
+                if sym in c:
+                    return p * c[sym] / (sum(c.values()) + len(c))
+                p *= len(c) / (sum(c.values()) + len(c))
+                out |= c.keys()
+        return p / (256 - len(out))
+
+    table = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    model, words_ = lm.learn(table(train), nodes=nodes)
+    for r in lm.score(table(new), model, words_).collect():
+        b = b"\xff" * order + new[r.doc_id].encode() + b"\xff"
+        assert r.score == pytest.approx(sum(math.log10(plain(b[i - order : i], b[i])) for i in range(order, len(b))), abs=1e-3)
+
+
 def test_scores_of_odd_rows(spark, edge, docs):
     model, table = lm.learn(docs)
     assert lm.score(edge, model, table).count() == len(EDGE)
