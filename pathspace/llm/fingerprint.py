@@ -215,11 +215,11 @@ def edit_embedding(docs: DataFrame, seed: int = 20) -> DataFrame:
     return base.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, band_bits: int = 16, seed: int = 20) -> DataFrame:
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, band_bits: int = 16, seed: int = 20, tile: int = 500) -> DataFrame:
     """Pairs (a, b, likeness) of different fingerprints that agree on a band of sampled bits of their last full octaves and, verified, are at least so alike.
 
     prints: doc_id, fingerprint. Equal fingerprints count as one, under their least id. Each band is compared within its own bucket:
-    members of a bucket meet its least one, so a bucket gives a row for each member, not for each pair.
+    all its members with one another, ``tile`` by ``tile`` in a task.
     """
     one = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     rng = np.random.default_rng(seed + 11)
@@ -241,12 +241,16 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, band_bits
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["band", "doc_id", "fingerprint"])
 
     banded = one.select("doc_id", "fingerprint").mapInArrow(run, "band string, doc_id bigint, fingerprint string")
-    leader = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("x")).select("band", F.col("x.doc_id").alias("a"), F.col("x.fingerprint").alias("f"))
-    pairs = banded.join(leader, "band").filter("a != doc_id").select("a", F.col("doc_id").alias("b"), "f", F.col("fingerprint").alias("g")).distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = [likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], ["a", "b", "likeness"])
-
-    return pairs.mapInArrow(verify, "a bigint, b bigint, likeness double").filter(F.col("likeness") >= least)
+    # All members of a bucket meet, in square tiles of bounded size.
+    sized = banded.join(banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "band").withColumn("cuts", F.ceil(F.col("members") / tile).cast("int"))
+    cell = sized.withColumn("i", F.pmod(F.xxhash64("fingerprint"), F.col("cuts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
+    cell = cell.select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "doc_id", "fingerprint", side.alias("side"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("doc_id", "fingerprint", "side")), strict=True))
+        met = ((a, b, likeness(f, g)) for n, (a, f, s) in enumerate(rows) for b, g, t in rows[n + 1 :] if s != t or s == 2)
+        near = [x for x in met if x[2] >= least]
+        return pa.table({"a": pa.array([x[0] for x in near], pa.int64()), "b": pa.array([x[1] for x in near], pa.int64()), "likeness": pa.array([x[2] for x in near], pa.float64())})
+
+    return cell.filter("doc_id is not null").groupBy("band", "p", "q").applyInArrow(verify, "a bigint, b bigint, likeness double").distinct()

@@ -397,6 +397,21 @@ def test_fingerprint_rows_and_pairs(spark, edge, docs):
         assert r.a < r.b and r.likeness >= 0.8
 
 
+def test_near_pairs_in_one_bucket(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12)]
+    texts = [t for x in texts for t in (x, x[:-1] + "z")]
+    rows = dict(enumerate(fingerprint.fingerprints(texts, 20)))
+    one = {}
+    for i, f in rows.items():
+        one.setdefault(f, i)
+    want = {(a, b) for f, a in one.items() for g, b in one.items() if a < b and fingerprint.likeness(f, g) >= 0.8}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, fingerprint string")
+    for tile in (500, 5):  # no band has bits here, so all that reach the same octave share each bucket
+        got = [(r.a, r.b) for r in fingerprint.near_pairs(df, bands=2, band_bits=0, tile=tile).collect()]
+        assert want and len(got) == len(set(got)) and set(got) == want
+
+
 # --- 2
 
 
