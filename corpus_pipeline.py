@@ -13,6 +13,7 @@ from pathspace.llm.jaccard import similar_documents
 from pathspace.llm.packing import pack
 from pathspace.llm.pii import replace_pii
 from pathspace.llm.quality import keep_good
+from pathspace.llm.queries import pii_key
 from pathspace.llm.store import stored
 from pathspace.llm.toxicity import drop_toxic
 
@@ -48,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; n_chars follows."""
-    out = replace_pii(docs)
+    out = replace_pii(docs, pii_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -1,22 +1,31 @@
 """Surrogates for personal data, by DataFrame functions alone.
 
 One pattern finds e-mail and IP addresses, phone, card, bank and social-security
-numbers, secrets, and names with a title. An entity's canonical form (lower case
-for e-mails and names, bare digits for numbers) is mapped by a keyed hash
-to a surrogate of the same type and script in the format of each mention: so all
-mentions of an entity, however written, get the same surrogate, and a bare surname that
-of the full name's surname. Generated given names end as the title's gender asks. Card
-numbers stay valid where they were (Luhn).
+numbers, secrets, and names with a title; in a text with such a name, later mentions of it
+or of its surname alone are found too. An entity's canonical form (lower case for e-mails,
+bare digits for numbers) is drawn a surrogate by a keyed digest (SHA-256, the key is
+required), and each mention takes that surrogate in its own format and case, so all
+mentions of an entity, however written, get the same surrogate.
+
+Names are drawn word by word: a surname's surrogate depends on the surname alone, a
+given name's on the name and its gender, so a bare surname keeps that of the full name
+also after a collision. A name's gender is that of its own title, else that which the
+corpus gives the name by its titles, else that of its ending. Surrogates keep the script
+(Latin, Cyrillic and Greek; names in other scripts get Latin ones), country codes, key
+prefixes, and valid card numbers (Luhn).
 
 Collision check: a surrogate that is itself an entity of the corpus, or that two
 entities share, is drawn anew (the least entity keeps it) until none is left, so
-distinct entities stay distinct and no surrogate is someone else's data.
+distinct entities stay distinct and no surrogate is someone else's data. Where short forms
+run out, surrogates get longer.
 
-Texts are split at entities in one pass over the pattern; only texts that hold
-some are shuffled, by text hash, to meet the surrogates of their entities.
+Texts are split at entities in one pass, whose result is stored with a row number. Only rows
+that hold some meet the surrogates of their entities, mention by mention (a hot entity is
+split by Spark's skew join), and only their rows are shuffled.
 
-Defined results: null and empty texts stay as they are; rows with equal ids or texts
-are all returned; all columns are kept, whatever their names.
+Defined results: null and empty texts stay as they are; texts and entities of any length are
+taken whole; rows with equal ids or texts are all returned; all columns are kept, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +40,7 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra",
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "господин", "Господин"]
 OTHER_TITLES = ["Dr", "Prof"]
 _TITLE = r"(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + r")\.?"
+_NAME = r"\p{Lu}\p{L}+(?:[ \-](?!" + _TITLE + r" )\p{Lu}\p{L}+){0,2}"
 
 # Repeats are open-ended and possessive, so an entity of any length is found whole and without going back; a domain name has 127 labels at most (RFC 1035).
 PATTERNS = {
@@ -42,7 +52,7 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d+])(?:(?:\d{4}[ \-]){3}\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])",
-    "person": r"(?=[MFSHPDгГ])(?<!\p{L})" + _TITLE + r" \p{Lu}\p{L}+(?:[ \-]\p{Lu}\p{L}+){0,2}",
+    "person": r"(?=[MFSHPDгГ])(?<!\p{L})" + _TITLE + " " + _NAME,
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity holds one of these (e-mails @; IPv6, values after token= and the like [=:]; IPv4 \d\.\d; keys their prefix or 32 hex digits; all other
@@ -50,167 +60,211 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HINT = r"@|\d\d|[=:]|\d\.\d|AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-]|[0-9a-f]{32}|(?<!\p{L})" + _TITLE + " "
 _EDGE = "\u0001"
 
-# Characters that stand for one another, by script.
-_ALPHABETS = ["aeiou", "bcdfghklmnprstvz", "AEIOU", "BCDFGHKLMNPRSTVZ", "àâäáãèéêëìîïíòôöóùûüúçñ", "ÀÂÄÁÃÈÉÊËÌÎÏÍÒÔÖÓÙÛÜÚÇÑ", "абвгдежзиклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
-_ALSO = {"bcdfghklmnprstvz": "jqwxy", "BCDFGHKLMNPRSTVZ": "JQWXY"}
+# Characters that stand for one another, by script; each alphabet's further members are drawn from its first part.
+_ALPHABETS = [("0123456789", ""), ("aeiou", ""), ("bcdfghklmnprstvz", "jqwxy"), ("AEIOU", ""), ("BCDFGHKLMNPRSTVZ", "JQWXY"), ("àâäáãèéêëìîïíòôöóùûüúçñ", ""), ("ÀÂÄÁÃÈÉÊËÌÎÏÍÒÔÖÓÙÛÜÚÇÑ", ""), ("абвгдежзиклмнопрстуфхцчшщыэюя", ""), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", ""), ("αβγδεζηθικλμνξοπρστυφχψω", ""), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "")]
+_HEX = [("0123456789", ""), ("abcdef", ""), ("ABCDEF", "")]
 _LATIN = ["ba", "be", "da", "de", "di", "fa", "fi", "ga", "ja", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "ni", "no", "ra", "re", "ri", "ro", "sa", "si", "ta", "ti", "va", "vi"]
-_CYRILLIC = ["ба", "бе", "ва", "ви", "га", "да", "де", "ди", "ка", "ко", "ла", "ле", "ли", "ма", "ме", "ми", "на", "не", "ни", "ра", "ре", "ри", "са", "си", "та", "ти", "фа", "ха", "жа", "за", "ли", "то"]
+_CYRILLIC = ["ба", "бе", "ва", "ви", "га", "да", "де", "ди", "ка", "ко", "ла", "ле", "лу", "ма", "ме", "ми", "на", "не", "ни", "ра", "ре", "ри", "са", "си", "та", "ти", "фа", "ха", "жа", "за", "ли", "то"]
+_GREEK = ["βα", "βε", "γα", "γι", "δα", "δε", "δι", "ζα", "ζη", "θα", "θε", "κα", "κο", "κι", "λα", "λε", "λι", "μα", "με", "μι", "να", "νε", "νι", "πα", "πε", "ρα", "ρι", "σα", "σι", "τα", "τε", "φα"]
+#: Calling codes of one and of two digits (ITU E.164); all others have three.
+_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_KEY_PREFIX = r"^(?:AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-])"
 
 
 def kind_of(e: Column) -> Column:
     """The type of a found entity: the first pattern that it matches as a whole."""
     out = F.when(F.lit(False), F.lit(""))
     for kind, p in PATTERNS.items():
-        if kind == "secret":
-            continue
-        out = out.when(e.rlike(rf"^(?:{p})$"), kind)
+        if kind != "secret":
+            out = out.when(e.rlike(rf"^(?:{p})$"), kind)
     return out.otherwise("secret")
 
 
+def _untitled(e: Column) -> Column:
+    return F.regexp_replace(e, rf"^{_TITLE} ", "")
+
+
 def canonical(e: Column, kind: Column) -> Column:
     """What all mentions of an entity share."""
     digits = F.regexp_replace(e, r"\D", "")
-    name = F.lower(F.regexp_replace(e, rf"^{_TITLE} ", ""))
-    return F.when(kind == "email", F.lower(e)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "person", name).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "ipv6", F.lower(e)).otherwise(e)
+    phone = F.concat(F.regexp_extract(e, r"^\+", 0), digits)
+    name = F.lower(F.regexp_replace(_untitled(e), "-", " "))
+    return F.when(kind.isin("email", "ipv6"), F.lower(e)).when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone).when(kind == "person", name).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
 
 
-def _pick(choices: str, h: Column) -> Column:
-    return F.substring(F.lit(choices), (F.pmod(h, F.lit(len(choices))) + 1).cast("int"), 1)
+def _chars(text: Column, pattern: str = "(?s).") -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _swap(text: Column, seed: list[Column], hexadecimal: bool = False) -> Column:
-    """Each letter and digit by a keyed one of its alphabet; all else stays. The place counts letters and digits only, so formats don't matter."""
+# The drawing is written as SQL text: its expressions are large, and text is parsed in one step.
 
-    def one(x: Column, i: Column) -> Column:
-        c = F.substring(x, 1, 1)
-        h = F.xxhash64(*seed, i + 1)
-        out = F.when(c.rlike(r"^\d$"), _pick("0123456789", h))
-        if hexadecimal:
-            out = out.when(c.rlike("^[a-f]$"), _pick("abcdef", h)).when(c.rlike("^[A-F]$"), _pick("ABCDEF", h))
-        for a in _ALPHABETS:
-            out = out.when(F.instr(F.lit(a + _ALSO.get(a, "")), c) > 0, _pick(a, h))
-        return F.concat(out.otherwise(c), F.substring(x, F.lit(2), F.length(x)))
 
-    # Each letter or digit with what follows up to the next, so the work grows with the length, not its square.
-    cut = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}][^\p{L}\p{N}]*+"), F.lit(0))
-    return F.concat(F.regexp_extract(text, r"^[^\p{L}\p{N}]*+", 0), F.array_join(F.transform(cut, one), ""))
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _luhn_digit(digits: Column) -> Column:
-    """The last digit that makes the number valid, from the digits before it."""
-    n = F.length(digits)
+def _sql_digest(key: str, n: str, *seed: str) -> str:
+    """``n`` keyed bytes as pairs of hexadecimal digits, in blocks of one SHA-256 each."""
+    k, message = _text(key), ", ".join(seed)
+    block = f"sha2(concat_ws('\\u001f', {k}, sha2(concat_ws('\\u001f', {k}, {message}, string(b)), 256)), 256)"
+    pairs = f"flatten(transform(sequence(0, greatest(int(floor(({n} - 1) / 32)), 0)), b -> regexp_extract_all({block}, '..', 0)))"
+    return f"slice({pairs}, 1, greatest({n}, 0))"
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")  # i = 1 is next to the last digit, which is doubled
-        twice = F.when(i % 2 == 1, 2 * d).otherwise(d)
-        return total + F.when(twice > 9, twice - 9).otherwise(twice)
 
-    return F.pmod(-F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0), add), F.lit(10))
+def _sql_swap(text: str, pairs: str, alphabets: list[tuple[str, str]]) -> str:
+    """Each letter and digit by a keyed one of its alphabet; all else stays."""
+    cases = " ".join(f"when instr('{first + more}', c) > 0 then substring('{first}', int(conv(x, 16, 10)) % {len(first)} + 1, 1)" for first, more in alphabets)
+    return f"array_join(zip_with(regexp_extract_all({text}, '(?s).', 0), {pairs}, (c, x) -> case {cases} else c end), '')"
 
 
-def _syllables(name: Column, seed: list[Column], extra: Column, end: Column) -> Column:
-    """A name made of 3 syllables and ``extra`` more in the script of ``name``, written with a capital."""
+def _sql_luhn(digits: str) -> str:
+    """The last digit that makes the number valid, from the digits before it (i = 1 is next to the last digit, which is doubled)."""
+    d = f"int(substring({digits}, length({digits}) - i, 1))"
+    return f"pmod(-aggregate(sequence(1, length({digits}) - 1), 0, (t, i) -> t + if(i % 2 = 1, 2 * {d} - if({d} > 4, 9, 0), {d})), 10)"
 
-    def one(choices: list[str]) -> Column:
-        pick = lambda i: F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64(*seed, i), F.lit(len(choices))) + 1).cast("int"))
-        return F.array_join(F.transform(F.sequence(F.lit(1), 3 + extra), pick), "")
 
-    body = F.when(name.rlike(r"\p{IsCyrillic}"), one(_CYRILLIC)).otherwise(one(_LATIN))
-    return F.initcap(F.concat(body, end))
+def _draw_texts(units: DataFrame, attempt: int, key: str) -> DataFrame:
+    """Column drawn: the surrogates of entities that aren't names, in canonical form. Steps are columns, so that each is worked out once."""
+    k, tried = _text(key), f"'{attempt}'"
+    steps = units.selectExpr("*", "if(kind = 'email', substring_index(form, '@', 1), form) as base", f"case kind when 'card' then 1 when 'iban' then 2 when 'phone' then length(regexp_extract(form, {_text(_CODE)}, 0)) when 'secret' then length(regexp_extract(form, {_text(_KEY_PREFIX)}, 0)) else 0 end as kept")
+    steps = steps.selectExpr("*", f"{_sql_digest(key, 'length(base)', 'kind', 'form', tried)} as pairs", "kind in ('secret', 'ipv6') and base rlike '^[0-9a-fA-F:]+$' as hexadecimal")
+    steps = steps.selectExpr("* except (pairs)", f"if(hexadecimal, {_sql_swap('base', 'pairs', _HEX)}, {_sql_swap('base', 'pairs', _ALPHABETS)}) as swapped")
+    # Longer ones where collisions go on: nothing to swap, or short forms used up.
+    extra = f"sha2(concat_ws('\\u001f', {k}, 'more', form, {tried}), 256)"
+    letters = f"when kind in ('email', 'secret') then substring({extra}, 1, {min(attempt, 32)})" if attempt >= 3 else ""
+    digits = f"when kind in ('phone', 'ssn', 'iban') then substring(translate({extra}, 'abcdef', '012345'), 1, {min(attempt - 7, 32)})" if attempt >= 8 else ""
+    steps = steps.selectExpr("* except (swapped)", f"concat(substring(base, 1, kept), substring(swapped, kept + 1), case {letters} {digits} when isnull(form) then '' else '' end) as swapped")
+    steps = steps.selectExpr("*", "if(kind = 'email', split(substring_index(form, '@', -1), '[.]'), array('')) as labels")
+    steps = steps.selectExpr("*", "array_join(slice(labels, 1, greatest(size(labels) - 2, 0)), '.') as before", "element_at(labels, -1) as top")
+    steps = steps.selectExpr("*", f"{_sql_digest(key, 'length(before)', "'domain'", "array_join(labels, '.')")} as before_pairs")
+    mail = f"concat(swapped, '@', {_sql_swap('before', 'before_pairs', _ALPHABETS)}, if(before = '', '', '.'), 'example.', if(top in ('com', 'org', 'net'), top, 'com'))"
+    octets = f"array_join(transform({_sql_digest(key, '4', 'kind', 'form', tried)}, x -> string(1 + int(conv(x, 16, 10)) % 254)), '.')"
+    card = f"if({_sql_luhn('form')} = int(right(form, 1)), concat(left(swapped, length(swapped) - 1), {_sql_luhn('swapped')}), swapped)"
+    return steps.selectExpr(*units.columns, f"case kind when 'email' then {mail} when 'ipv4' then {octets} when 'card' then {card} else swapped end as drawn")
 
 
-def surrogate(e: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate in the format of mention ``e``."""
-    k = F.lit(key)
-    seed = [k, kind, canon, attempt]
-    more = F.when(attempt >= 3, F.substring(F.lower(F.hex(F.xxhash64(*seed))), F.lit(1), attempt)).otherwise("")
+def _draw_words(units: DataFrame, attempt: int, key: str) -> DataFrame:
+    """Column drawn: the surrogates of names' words, lower case: 3 syllables (surnames 4), one more for each attempt, and an ending."""
+    n = 3 + min(attempt, 24)
+    by_script = lambda c, g, other: f"case script when 'c' then {c} when 'g' then {g} else {other} end"
+    syllables = by_script(*("array(" + ", ".join(map(_text, x)) + ")" for x in (_CYRILLIC, _GREEK, _LATIN)))
+    steps = units.selectExpr("*", r"case when form rlike '\\p{IsCyrillic}' then 'c' when form rlike '\\p{IsGreek}' then 'g' else 'l' end as script", "int(kind = 'family') as family")
+    steps = steps.selectExpr("*", f"{_sql_digest(key, f'({n} + family)', 'kind', 'canon', _text(str(attempt)))} as pairs", f"{syllables} as syllables")
+    ending = f"case when kind = 'family' then {by_script(*map(_text, ('ов', 'κης', 'r')))} when canon like 'f:%' then {by_script(*map(_text, ('на', 'να', 'na')))} else {by_script(*map(_text, ('н', 'νος', 'n')))} end"
+    return steps.selectExpr(*units.columns, f"concat(array_join(transform(pairs, x -> get(syllables, int(conv(x, 16, 10)) % 32)), ''), {ending}) as drawn")
 
-    labels = F.split(F.lower(F.substring_index(e, "@", -1)), r"\.")
-    top = F.element_at(labels, -1)
-    before = F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0)))
-    known = F.when(top.isin("com", "org", "net"), top).otherwise("com")
-    domain = F.array_join(F.concat(F.transform(before, lambda x: _swap(x, [k, F.lit("domain"), x])), F.array(F.lit("example"), known)), ".")
-    email = F.concat(_swap(F.substring_index(e, "@", 1), seed), more, F.lit("@"), domain)
 
-    octets = F.array_join(F.transform(F.split(e, r"\."), lambda x, i: (1 + F.pmod(F.xxhash64(*seed, i), F.lit(254))).cast("string")), ".")
-
-    swapped = _swap(e, seed)
-    digits = F.regexp_replace(e, r"\D", "")
-    valid = _luhn_digit(digits) == F.substring(digits, -1, 1).cast("int")
-    first = F.concat(F.substring(e, 1, 1), F.substring(swapped, F.lit(2), F.length(swapped)))
-    card = F.when(valid, F.concat(F.substring(first, F.lit(1), F.length(first) - 1), _luhn_digit(F.regexp_replace(first, r"\D", "")).cast("string"))).otherwise(first)
-
-    code = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    phone = F.concat(code, F.substring(swapped, F.length(code) + 1, F.length(swapped)))
-
-    title = F.regexp_extract(e, rf"^{_TITLE} ", 0)
-    words = F.split(F.regexp_replace(e, rf"^{_TITLE} ", ""), r"[ \-]")
-    female, male = (title.rlike("^(?:" + "|".join(x) + ")") for x in (FEMALE_TITLES, MALE_TITLES))
-    # Names without a gender in their title get one from their given name's ending, as it was.
-    female = female | (~male & F.lower(words[0]).rlike("[aа]$"))
-    cyrillic = words[0].rlike(r"\p{IsCyrillic}")
-    given_end = F.when(female, F.when(cyrillic, "на").otherwise("na")).otherwise(F.when(cyrillic, "н").otherwise("n"))
-    given = _syllables(e, [k, F.lit("given"), F.lower(words[0]), attempt], F.least(attempt, F.lit(8)), given_end)
-    last = F.element_at(words, -1)
-    # A surname's surrogate depends on the surname alone, so that it is the same with and without a given name.
-    alone = F.size(words) == 1
-    family = _syllables(e, [k, F.lit("family"), F.lower(last), F.when(alone, attempt).otherwise(0)], F.when(alone, F.least(attempt, F.lit(8))).otherwise(0) + 1, F.when(cyrillic, F.when(female, "ова").otherwise("ов")).otherwise("r"))
-    middle = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda x: _syllables(e, [k, F.lit("middle"), F.lower(x)], F.lit(0), F.lit("")))
-    person = F.concat(title, F.when(alone, family).otherwise(F.array_join(F.concat(F.array(given), middle, F.array(family)), " ")))
-
-    iban = F.concat(F.substring(e, 1, 2), F.substring(swapped, F.lit(3), F.length(swapped)))
-    secret = F.when(e.rlike("^[0-9a-fA-F:]+$"), _swap(e, seed, True)).when(e.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(swapped, F.lit(5), F.length(swapped)))).otherwise(swapped)
-    return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "phone", phone).when(kind == "person", person).when(kind == "iban", iban).otherwise(secret)
+def _formatted(e: Column, kind: Column, drawn: Column) -> Column:
+    """``drawn`` with the separators and the case of mention ``e``."""
+    like = lambda c, d: F.when(F.substring(c, 1, 1).rlike(r"^\p{Lu}"), F.upper(d)).otherwise(d)
+    local = F.zip_with(_chars(F.substring_index(e, "@", 1)), _chars(F.substring_index(drawn, "@", 1)), lambda c, d: F.coalesce(like(c, d), d, F.lit("")))
+    mail = F.concat(F.array_join(local, ""), F.lit("@"), F.substring_index(drawn, "@", -1))
+    cut = _chars(e, r"[\p{L}\p{N}][^\p{L}\p{N}]*+")
+    put = F.zip_with(cut, _chars(drawn, r"[\p{L}\p{N}]"), lambda c, d: F.coalesce(F.concat(like(c, d), F.substring(c, F.lit(2), F.length(c))), d, c))
+    return F.when(kind == "email", mail).when(kind == "ipv4", drawn).otherwise(F.concat(F.regexp_extract(e, r"^[^\p{L}\p{N}]*+", 0), F.array_join(put, "")))
 
 
 def parts_of(text: Column) -> Column:
     """The text split at its entities: entities are at the odd places (from 0)."""
     usual = F.split(F.regexp_replace(text, PATTERN, f"{_EDGE}$0{_EDGE}"), _EDGE)
-    between, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    woven = F.flatten(F.transform(between, lambda s, i: F.when(i < F.size(found), F.array(s, F.get(found, i))).otherwise(F.array(s))))
-    return F.when(~text.rlike(_HINT), F.array(text)).when(F.instr(text, _EDGE) > 0, woven).otherwise(usual)
-
-
-def resolve(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """entity, kind, surrogate for distinct entities (column entity): distinct, and none an entity itself."""
-    spark = entities.sparkSession
-    kind = kind_of(F.col("entity"))
-    known = stored(entities.withColumn("kind", kind).withColumn("canon", canonical(F.col("entity"), F.col("kind"))), "pii-entities")
-    one = known.groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
-    originals = one.select("kind", F.col("canon").alias("drawn"))
-    pending, settled = one, None
+    return F.when(~text.rlike(_HINT), F.array(text)).when(F.instr(text, _EDGE) > 0, _woven(text, F.lit(PATTERN))).otherwise(usual)
+
+
+def _woven(text: Column, pattern: Column) -> Column:
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.filter(F.flatten(F.zip_with(between, found, lambda s, x: F.array(s, x))), lambda x: x.isNotNull())
+
+
+def names_of(parts: Column) -> Column:
+    """A pattern of the names that parts hold with a title, and of their surnames; null if there are none."""
+    titled = F.transform(F.filter(parts, lambda s, i: (i % 2 == 1) & s.rlike(rf"^{_TITLE} {_NAME}$")), _untitled)
+    # Longest first, so that a full name goes before its surname; names hold letters, spaces and hyphens only.
+    both = F.flatten(F.transform(titled, lambda s: F.array(s, F.element_at(F.split(s, r"[ \-]"), -1))))
+    names = F.transform(F.reverse(F.sort_array(F.transform(F.array_distinct(both), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), lambda x: x["s"])
+    found = F.array_join(names, "|")
+    return F.when(found != "", F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?:"), found, F.lit(r")(?!\p{L})")))
+
+
+def mentions_of(parts: Column, names: Column) -> Column:
+    """The parts as structs (t, s), t being 0 for what isn't an entity, 1 for entities and 2 for names without title that the text has with one; odd places hold the entities."""
+    plain = F.transform(parts, lambda s, i: F.struct((i % 2).cast("int").alias("t"), s.alias("s")))
+    split = lambda s: F.transform(_woven(s, names), lambda x, j: F.struct(F.when(j % 2 == 1, 2).otherwise(0).alias("t"), x.alias("s")))
+    more = F.flatten(F.transform(parts, lambda s, i: F.when(i % 2 == 1, F.array(F.struct(F.lit(1).alias("t"), s.alias("s")))).otherwise(split(s))))
+    return F.when(names.isNull(), plain).otherwise(more)
+
+
+def _words(people: DataFrame) -> DataFrame:
+    """t, s, pos, word, kind, form, canon of each word of the names (t, s, canon), gender decided."""
+    starts = lambda titles: F.col("s").rlike("^(?:" + "|".join(titles) + r")\.? ") & (F.col("t") == 1)
+    own = people.withColumn("own", F.when(starts(FEMALE_TITLES), "f").when(starts(MALE_TITLES), "m"))
+    by_name = own.groupBy("canon").agg(F.max(F.col("own") == "f").alias("f"), F.max(F.col("own") == "m").alias("m"))
+    ending = F.when(F.col("canon").rlike(r"^\p{L}*[aаα](?: |$)"), "f").otherwise("m")
+    f, m = F.coalesce("f", F.lit(False)), F.coalesce("m", F.lit(False))
+    gender = F.coalesce("own", F.when(f & ~m, "f").when(m & ~f, "m").otherwise(ending))
+    words = own.join(by_name, "canon").withColumn("gender", gender).select("t", "s", "gender", F.size(F.split(_untitled(F.col("s")), r"[ \-]")).alias("k"), F.posexplode(F.split(_untitled(F.col("s")), r"[ \-]")).alias("pos", "word"))
+    low = F.lower("word")
+    family = F.col("pos") == F.col("k") - 1
+    # A Cyrillic surname's feminine form is its own form and an ending.
+    form = F.when(family, F.regexp_replace(low, "(?<=[а-я]{2})а$", "")).otherwise(low)
+    return words.select("t", "s", "pos", "word", F.when(family, "family").otherwise("given").alias("kind"), form.alias("form"), F.when(family, form).otherwise(F.concat("gender", F.lit(":"), low)).alias("canon"))
+
+
+def _settle(units: DataFrame, key: str, rounds: int) -> DataFrame:
+    """space, kind, canon, drawn of the distinct (space, kind, canon, form): distinct within a space, and none a form of the corpus."""
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = units.select("space", F.col("form").alias("drawn"))
+    pending, settled = units, None
     for attempt in range(rounds):
-        drawn = pending.withColumn("attempt", F.lit(attempt))
-        drawn = drawn.withColumn("drawn", canonical(surrogate(F.col("entity"), F.col("kind"), F.col("canon"), F.col("attempt"), key), F.col("kind")))
+        # A fixed number of tasks: the rows are few bytes, but each is some work.
+        dealt = pending.repartition(n, "canon")
+        drawn = _draw_texts(dealt.filter("space != 'name'"), attempt, key).unionByName(_draw_words(dealt.filter("space = 'name'"), attempt, key))
         drawn = stored(drawn, "pii-drawn")
-        taken = originals if settled is None else originals.unionByName(settled.select("kind", "drawn"))
-        free = drawn.join(taken.distinct(), ["kind", "drawn"], "left_anti")
-        winners = free.groupBy("kind", "drawn").agg(F.min("canon").alias("canon"))
-        won = stored(drawn.join(winners, ["kind", "drawn", "canon"], "left_semi"), "pii-settled")
+        free = drawn.join(taken, ["space", "drawn"], "left_anti")
+        winners = free.groupBy("space", "drawn").agg(F.min(F.struct("kind", "canon")).alias("w")).select("space", "w.*", "drawn")
+        won = stored(winners, "pii-settled")
         settled = won if settled is None else settled.unionByName(won)
-        pending = drawn.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "entity")
-        if pending.limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("no distinct surrogates were found")
-    drawn = known.join(settled.select("kind", "canon", "attempt"), ["kind", "canon"])
-    return stored(drawn.select("entity", "kind", surrogate(F.col("entity"), F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate")), "pii-surrogates")
+        taken = taken.unionByName(won.select("space", "drawn"))
+        pending = drawn.join(won, ["space", "kind", "canon"], "left_anti").drop("drawn")
+        if won.count() == drawn.count():
+            return settled
+    raise RuntimeError("no distinct surrogates were found")
 
 
-def replace_pii(docs: DataFrame, key: str = "pathspace", text: str = "text", count: str | None = None) -> DataFrame:
+def resolve(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+    """t, s, kind, surrogate for distinct entities (t, s) as of ``mentions_of``: distinct, and none an entity itself."""
+    kind = F.when(F.col("t") == 2, "person").otherwise(kind_of(F.col("s")))
+    known = stored(entities.withColumn("kind", kind).withColumn("canon", canonical(F.col("s"), F.col("kind"))), "pii-entities")
+    plain = known.filter("kind != 'person'")
+    words = stored(_words(known.filter("kind = 'person'").drop("kind")), "pii-words")
+    units = plain.select(F.col("kind").alias("space"), "kind", "canon", F.col("canon").alias("form")).unionByName(words.select(F.lit("name").alias("space"), "kind", "canon", "form")).distinct()
+    settled = _settle(stored(units, "pii-units"), key, rounds).drop("space")
+    texts = plain.join(settled, ["kind", "canon"]).select("t", "s", "kind", _formatted(F.col("s"), F.col("kind"), F.col("drawn")).alias("surrogate"))
+    ended = F.concat("drawn", F.when((F.col("kind") == "family") & (F.lower("word") != F.col("form")), "а").otherwise(""))
+    cased = F.when(F.col("word") == F.upper("word"), F.upper(ended)).otherwise(F.initcap(ended))
+    named = words.join(settled, ["kind", "canon"]).groupBy("t", "s").agg(F.sort_array(F.collect_list(F.struct("pos", cased.alias("new")))).alias("w"))
+    s = F.col("s")
+    title = F.when(F.col("t") == 1, F.regexp_extract(s, rf"^{_TITLE} ", 0)).otherwise("")
+    name = F.array_join(F.zip_with("w", _chars(_untitled(s), r"[ \-]"), lambda w, gap: F.concat(w["new"], F.coalesce(gap, F.lit("")))), "")
+    people = named.select("t", "s", F.lit("person").alias("kind"), F.concat(title, name).alias("surrogate"))
+    return stored(texts.unionByName(people), "pii-surrogates")
+
+
+def replace_pii(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with surrogates in the text; ``count`` names a column for the number of replaced mentions."""
     cols = docs.columns
     c = {name: f"c{i}" for i, name in enumerate(cols)}
     base = docs.select(*[F.col(f"`{name}`").alias(c[name]) for name in cols])
     body = c[text]
-    split = base.withColumn("parts", parts_of(F.col(body))).withColumn("found", F.coalesce(F.size("parts"), F.lit(0)) > 1)
+    split = base.withColumn("parts", parts_of(F.col(body))).withColumn("parts", F.when(F.size("parts") > 1, F.col("parts")))
+    split = stored(split.withColumn("rid", F.monotonically_increasing_id()), "pii-parts")
+    held = split.filter("parts is not null").withColumn("names", names_of(F.col("parts"))).withColumn("parts", mentions_of(F.col("parts"), F.col("names"))).drop("names")
     odd = F.filter("parts", lambda _, i: i % 2 == 1)
-    per_text = split.filter("found").select(F.xxhash64(body).alias("h"), F.explode(F.array_distinct(odd)).alias("entity")).distinct()
-    per_text = stored(per_text, "pii-mentions")
-    mapping = resolve(per_text.select("entity").distinct(), key)
-    table = per_text.join(mapping.select("entity", "surrogate"), "entity").groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("to"))
-    met = split.withColumn("h", F.when(F.col("found"), F.xxhash64(body))).filter("found").join(table, "h")
-    swapped = F.array_join(F.transform("parts", lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at("to", p), p)).otherwise(p)), "")
+    mentions = held.select("rid", F.posexplode(odd).alias("pos", "m")).select("rid", "pos", "m.*")
+    mapping = resolve(mentions.select("t", "s").distinct(), key)
+    table = mentions.join(mapping.drop("kind"), ["t", "s"]).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("to"))
+    met = held.join(table, "rid")
+    between = F.transform(F.filter("parts", lambda _, i: i % 2 == 0), lambda x: x["s"])
+    swapped = F.array_join(F.zip_with(between, "to", lambda s, x: F.concat(s, F.coalesce(x["surrogate"], F.lit("")))), "")
     extra = lambda n: [] if count is None else [n.cast("int").alias(count)]
     out = lambda df, new, n: df.select(*[(new if name == text else F.col(c[name])).alias(name) for name in cols], *extra(n))
-    return out(split.filter("not found"), F.col(body), F.lit(0)).unionByName(out(met, swapped, F.floor(F.size("parts") / 2)))
+    return out(split.filter("parts is null"), F.col(body), F.lit(0)).unionByName(out(met, swapped, F.size("to")))

@@ -18,10 +18,15 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates, from the session; these queries and tests have one that is no secret."""
+    return spark.conf.get("spark.pathspace.piiKey", "a key for tests only")
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replace_pii
 
-    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), count="n_replaced")
 
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}

@@ -438,11 +438,13 @@ def test_segmentation_is_optimal():
 
 # --- 1
 
+KEY = "a key"
+
 
 def test_pii(spark, edge):
     rows = [(1, "Mail jo.5@mail3.example.com or JO.5@mail3.example.com, +1 (017) 555-7713; card 4111 1111 1111 1111 and 4111111111111111."), (2, 'Mrs. Anna Smith met Mr. John Smith. token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 152.143.123.131###'), (3, "nothing in it 12, 2024."), (4, None), (5, "e\u0001 a@b.co")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.replace_pii(df).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_pii(df, KEY).collect()}
     for gone in ("jo.5@", "JO.5@", "555-7713", "4111", "Anna", "Smith", "24be6443", "152.143"):
         assert gone not in got[1] + got[2]
     a, b = re.findall(r"[\w.]+@[\w.]+\w", got[1])
@@ -451,7 +453,7 @@ def test_pii(spark, edge):
     assert c[0].replace(" ", "") == c[1] and sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(c[1]))) % 10 == 0
     m = re.match(r"Mrs\. (\w+na) (\w+) met Mr\. (\w+n) (\w+)\.", got[2])
     assert m and m[2] == m[4] and m[1] != m[3]
-    assert pii.replace_pii(edge).count() == len(EDGE) and pii.replace_pii(edge).columns == edge.columns
+    assert pii.replace_pii(edge, KEY).count() == len(EDGE) and pii.replace_pii(edge, KEY).columns == edge.columns
 
 
 ENTITIES = {
@@ -471,7 +473,7 @@ def test_pii_found_without_other_hints(spark):
     assert ENTITIES.keys() == pii.PATTERNS.keys()
     rows = [(f"so {e} it is", e) for es in ENTITIES.values() for e in es] + [("a 1 b 2.x sky pkg", None)]
     df = spark.createDataFrame(rows, "text string, e string")
-    for r in pii.replace_pii(df, count="n").collect():
+    for r in pii.replace_pii(df, KEY, count="n").collect():
         assert (r.n == 0 and r.text == "a 1 b 2.x sky pkg") if r.e is None else (r.n == 1 and r.e.split("=")[-1] not in r.text), r.e
 
 
@@ -480,7 +482,7 @@ def test_pii_takes_long_entities_whole(spark):
     jwt = "-".join(["eyJhbGciOiJIUzI1NiJ9", "abcDEF123_" * 60, "Q" * 300])
     rows = ["0123456789abcdef" * 40, "sk_" + long, "ghp_" + long, f"token={jwt}", f"password: {long}", long + "@mail.example.org", "jo@" + "a9." * 30 + "org", "secret=" + "x7" * 20_000]
     df = spark.createDataFrame([(i, f"so {t} end") for i, t in enumerate(rows)], "i int, text string")
-    for r in pii.replace_pii(df, count="n").collect():
+    for r in pii.replace_pii(df, KEY, count="n").collect():
         old = rows[r.i].removeprefix("token=").removeprefix("password: ").removeprefix("secret=")
         new = r.text.removeprefix("so ").removesuffix(" end").removeprefix("token=").removeprefix("password: ").removeprefix("secret=")
         assert r.n == 1 and not set(re.findall(".{12}", new)) & {old[k : k + 12] for k in range(len(old))}, r.i
@@ -488,10 +490,59 @@ def test_pii_takes_long_entities_whole(spark):
 
 
 def test_pii_surrogates_are_distinct(spark):
-    many = spark.createDataFrame([(f"{a}{b}@x{c}.example.com",) for a in "abcdefgh" for b in "mnop" for c in range(6)], "entity string")
+    # Short local parts collide often: 2,000 of one to two letters share 441 * 20 swaps.
+    mails = [f"{a}{b}@x{c}.example.com" for a in "abcdefgh" for b in "mnop" for c in range(20)]
+    names = [f"{t} {a.title()}{x} {b.title()}" for t in ("Mr.", "Mrs.", "Dr") for a in ("jon", "kim", "lia") for x in "bcd" for b in ("lee", "poe", "ray", "иванов", "иванова")]
+    phones = [f"+1 ({i}) 55 {10 + j}" for i in range(10) for j in range(40)]
+    many = spark.createDataFrame([(1, e) for e in mails + names + phones], "t int, s string")
     got = pii.resolve(many, "k").collect()
-    new = {r.surrogate for r in got}
-    assert len(new) == len(got) == many.count() and not new & {r.entity for r in got}
+    assert len(got) == many.count() and not {r.surrogate for r in got} & {r.s for r in got}
+    one = [r for r in got if r.kind != "person"]
+    assert len({r.surrogate for r in one}) == len(one)
+    # Names: one surrogate for each person, whatever the title; Dr is of the same gender as no other title here, so it joins one of the two.
+    people = collections.defaultdict(set)
+    for r in got:
+        if r.kind == "person" and not r.s.startswith("Dr"):
+            people[r.surrogate.split(" ", 1)[1]].add(r.s)
+    assert all(len(x) == 1 for x in people.values()) and len(people) == 2 * 9 * 5
+    family = {}
+    for r in got:
+        if r.kind == "person":
+            assert family.setdefault(r.s.split()[-1], r.surrogate.split()[-1]) == r.surrogate.split()[-1]
+    assert len(set(family.values())) == 5 and family["Иванов"] + "а" == family["Иванова"]
+    assert {r.s: r.surrogate for r in pii.resolve(many, "k").collect()} == {r.s: r.surrogate for r in got}
+    assert {r.s: r.surrogate for r in pii.resolve(many, "j").collect()} != {r.s: r.surrogate for r in got}
+
+
+def test_pii_coreference_and_formats(spark):
+    rows = [
+        (1, "Mrs Kim Lee met Dr Kim Lee. Then Lee left; Kim Lee stayed, Leeds too. Mr John Smith-Jones and Jones."),
+        (2, "Jo.5@mail3.acme.de JO.5@MAIL3.acme.de +49 30 1234567 +49301234567 password: ******** x"),
+        (3, "Господин Иванов и госпожа Иванова. Иванов ушёл. Mr Παπαδόπουλος and Mr. SMITH Mr Smith"),
+        (4, "Kim Lee and Lee without a title are no one's"),
+    ]
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY, count="n").collect()}
+    one, n = got[1]
+    m = re.fullmatch(r"Mrs (\w+na) (\w+) met Dr \1 \2\. Then \2 left; \1 \2 stayed, Leeds too\. Mr (\w+n) (\w+)-(\w+) and \5\.", one)
+    assert m and n == 6, one
+    m = re.fullmatch(r"([A-Z][a-z]\.\d)@([a-z]{4}\d)\.example\.com (\S+)@\2\.example\.com \+49 (\d\d) (\d{7}) \+49\4\5 password: \S{9,} x", got[2][0])
+    assert m and m[3] == m[1].upper() and got[2][1] == 5, got[2]
+    m = re.fullmatch(r"Господин (\w+) и госпожа \1а\. \1 ушёл\. Mr ([α-ωΑ-Ω]+) and Mr\. (\w+) Mr (\w+)", got[3][0])
+    assert m and m[3] == m[4].upper() and got[3][1] == 6, got[3]
+    assert got[4] == (rows[3][1], 0)
+
+
+def test_pii_odd_rows(spark, edge):
+    got = pii.replace_pii(edge, KEY, count="n").collect()
+    assert sorted(map(str, [(r.doc_id, r.text, r.lang, r.score, r.n) for r in got])) == sorted(map(str, [(i, t, g, 9, 0) for i, t, g in EDGE]))
+    none = pii.replace_pii(edge.limit(0), KEY)
+    assert none.columns == edge.columns and none.count() == 0
+    clash = spark.createDataFrame([(1, "a@b.co", 1, "x", "y")], "rid int, text string, parts int, t string, s string")
+    got = pii.replace_pii(clash, KEY).collect()
+    assert len(got) == 1 and got[0][0] == 1 and got[0].text.endswith("@example.com") and got[0][2:] == (1, "x", "y")
+    long = spark.createDataFrame([(1, "Mrs Ada Byron and Byron wrote to a@b.co. " * 20_000), (1, "Mrs Ada Byron and Byron wrote to a@b.co. ")], "doc_id int, text string")
+    got = sorted(r.text for r in pii.replace_pii(long, KEY).collect())
+    assert "Byron" not in got[1] and got[1] == got[0] * 20_000
 
 
 def test_store_writes_into_the_shared_folder(spark):
