@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pathspace.functions import routing, structure
 from pathspace.functions.vectors import doubles, euclid
 from pathspace.operators import blend, evaluation, graph, paths, shape, spectral
+from pathspace.plans import manifold
 from pathspace.sources import tables
+from pathspace.sources.store import small
 from pathspace.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,38 +55,39 @@ def _coords(spark, d):
 
 
 def _requests(spark, d):
-    """Pairs (i, i + 250) of the vectors divisible by 50."""
-    v = _t(spark, d, "embeddings").filter("vec_id % 50 = 0 and vec_id < 250")
-    return v.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("source"), (F.col("vec_id") + 250).alias("target"))
+    """From every vector whose id is divisible by 100 to the one 250 places on, around the end."""
+    v = _t(spark, d, "embeddings").select("vec_id")
+    return v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("source"), ((F.col("vec_id") + 250) % v.count()).alias("target"))
 
 
-V = "with v as (select vec_id, embedding::double[] e from embeddings)"
-KNN = V + """, knn as (select src, rank, dst, dist from (select a.vec_id src, b.vec_id dst, 1 - list_inner_product(a.e, b.e) dist,
+V = "with v as materialized (select vec_id, embedding::double[] e from embeddings)"
+KNN = V + """, knn as materialized (select src, rank, dst, dist from (select a.vec_id src, b.vec_id dst, 1 - list_inner_product(a.e, b.e) dist,
  row_number() over (partition by a.vec_id order by round(list_inner_product(a.e, b.e), 12) desc, b.vec_id) - 1 rank from v a join v b on a.vec_id <> b.vec_id) where rank < 15)"""
-KERNEL = KNN + """, sigma as (select src fact_idx, greatest(dist, 1e-6) sigma from knn where rank = 7),
-kernel as (select k.src, k.dst, exp(-(k.dist * k.dist) / (2 * a.sigma * b.sigma)) w from knn k join sigma a on a.fact_idx = k.src join sigma b on b.fact_idx = k.dst)"""
-EDGES = KERNEL + """, edges as (select src, dst, max(w) w from (select src, dst, w from kernel union all select dst, src, w from kernel) group by src, dst)"""
-DEG = EDGES + ", deg as (select src fact_idx, greatest(sum(w), 1e-10) degree from edges group by src)"
-COSTS = EDGES + ", cost as (select src, dst, greatest(-ln(w + 1e-10), 0) c from edges where w >= 1e-10)"
+KERNEL = KNN + """, sigma as materialized (select src fact_idx, greatest(dist, 1e-6) sigma from knn where rank = 7),
+kernel as materialized (select k.src, k.dst, exp(-(k.dist * k.dist) / (2 * a.sigma * b.sigma)) w from knn k join sigma a on a.fact_idx = k.src join sigma b on b.fact_idx = k.dst)"""
+EDGES = KERNEL + """, edges as materialized (select src, dst, max(w) w from (select src, dst, w from kernel union all select dst, src, w from kernel) group by src, dst)"""
+DEG = EDGES + ", deg as materialized (select src fact_idx, greatest(sum(w), 1e-10) degree from edges group by src)"
+COSTS = EDGES + ", cost as materialized (select src, dst, greatest(-ln(w + 1e-10), 0) c from edges where w >= 1e-10)"
 ROUNDS = 12
 
 
 def _relaxed(sources: str) -> str:
     """Least costs by so many rounds of relaxation from the rows of ``sources`` (source)."""
-    out = COSTS + f", d0 as (select distinct source, source node, 0.0::double c from ({sources}))"
+    out = COSTS + f", d0 as materialized (select distinct source, source node, 0.0::double c from ({sources}))"
     for i in range(1, ROUNDS + 1):
-        out += f", d{i} as (select source, node, min(c) c from (select source, node, c from d{i - 1} union all select d.source, e.dst, d.c + e.c from d{i - 1} d join cost e on e.src = d.node) group by source, node)"
+        out += f", d{i} as materialized (select source, node, min(c) c from (select source, node, c from d{i - 1} union all select d.source, e.dst, d.c + e.c from d{i - 1} d join cost e on e.src = d.node) group by source, node)"
     return out
 
 
-REQ = "select vec_id query_id, vec_id source, vec_id + 250 target from embeddings where vec_id % 50 = 0 and vec_id < 250"
-PATH = _relaxed("select vec_id source from embeddings where vec_id % 50 = 0 and vec_id < 250") + f""", req as ({REQ}),
-b0 as (select query_id, source, target node, c total, 0 n from req join d{ROUNDS} d using (source) where d.node = req.target)""" + "".join(
+N = "(select count(*) from embeddings)"
+REQ = f"select vec_id query_id, vec_id source, (vec_id + 250) % {N} target from embeddings where vec_id % 100 = 0"
+_TRACE = f"""b0 as (select query_id, source, target node, c total, 0 n from req join d{ROUNDS} d using (source) where d.node = req.target)""" + "".join(
     f""", b{i} as (select query_id, source, prev node, total, {i} n from (select b.query_id, b.source, b.total, e.src prev, row_number() over (partition by b.query_id order by p.c + e.c, e.src) k
  from b{i - 1} b join cost e on e.dst = b.node join d{ROUNDS} p on p.source = b.source and p.node = e.src where b.node <> b.source) where k = 1)"""
     for i in range(1, ROUNDS + 1)
-) + ", path as (select query_id, (max(n) over (partition by query_id) - n)::int as position, node fact_idx, total total_cost from (" + " union all ".join(f"select * from b{i}" for i in range(ROUNDS + 1)) + "))"
-COORDS = ", coords as (select vec_id fact_idx, (embedding::double[])[1:12] coords from embeddings)"
+) + ", path as materialized (select query_id, (max(n) over (partition by query_id) - n)::int as position, node fact_idx, total total_cost from (" + " union all ".join(f"select * from b{i}" for i in range(ROUNDS + 1)) + "))"
+PATH = _relaxed("select vec_id source from embeddings where vec_id % 100 = 0") + f", req as ({REQ}), " + _TRACE
+COORDS = ", coords as materialized (select vec_id fact_idx, (embedding::double[])[1:12] coords from embeddings)"
 DIST = "list_distance(c.coords, w.coords)"
 
 
@@ -134,16 +137,37 @@ def structure_boost(spark, d):
     return graph.structure_boost(graph.kernel_edges(paths.saved(graph.knn(_vectors(spark, d)), "knn")), s).withColumn("w", F.round("w", 6))
 
 
-CO = "select a.l_partkey % 500 a, b.l_partkey % 500 b, count(*) n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber where a.l_orderkey % 50 = 0 group by 1, 2"
+# Parts are dealt to facts by their number; parts of one order occur together.
+CO = f"select a.l_partkey % {N} a, b.l_partkey % {N} b, count(*) n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber group by 1, 2"
+
+
+def _together(spark, d):
+    """fact_a_hash, fact_b_hash, count of the parts that occur in one order."""
+    n = _t(spark, d, "embeddings").count()
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("h"), F.col("l_partkey") % n).alias("p"))
+    x, y = li.select("l_orderkey", F.col("l_linenumber").alias("n1"), F.col("p").alias("fact_a_hash")), li.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("p").alias("fact_b_hash"))
+    return x.join(y, "l_orderkey").filter("n1 < n2").groupBy("fact_a_hash", "fact_b_hash").agg(F.count("*").alias("count"))
+
+
+def _pairs(spark, d):
+    return tables.cooccurrence_pairs(_together(spark, d), _vectors(spark, d).withColumn("fact_id", F.concat(F.lit("h"), "fact_idx")))
+
+
+@_query(f"select a, b, n from ({CO})")
+def cooccurrence_reader(spark, d):
+    return _pairs(spark, d)
 
 
 @_query(EDGES + f""", co as ({CO}), boost as (select src, dst, exp(sum(ln(1 + 0.1 * ln(n + 1)))) f from (select a src, b dst, n from co union all select b, a, n from co) where src <> dst group by src, dst)
  select e.src, e.dst, round(e.w * coalesce(f, 1), 6) w from edges e left join boost using (src, dst)""")
 def cooccurrence_boost(spark, d):
-    li = _t(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("p"))
-    x, y = li.select("l_orderkey", F.col("l_linenumber").alias("n1"), F.col("p").alias("a")), li.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("p").alias("b"))
-    pairs = x.join(y, "l_orderkey").filter("n1 < n2").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return graph.cooccurrence_boost(_edges(spark, d), pairs).withColumn("w", F.round("w", 6))
+    return graph.cooccurrence_boost(_edges(spark, d), _pairs(spark, d)).withColumn("w", F.round("w", 6))
+
+
+@_query(EDGES + ", rel as (select vec_id a, vec_id + 1 b from embeddings where vec_id % 3 = 0), two as (select a src, b dst from rel union select b, a from rel) select e.src, e.dst, round(e.w * case when two.src is null then 1 else 2 end, 6) w from edges e left join two using (src, dst)")
+def relation_boost(spark, d):
+    related = _vectors(spark, d).filter("fact_idx % 3 = 0").select(F.col("fact_idx").alias("a"), (F.col("fact_idx") + 1).alias("b"))
+    return graph.relation_boost(_edges(spark, d), related).withColumn("w", F.round("w", 6))
 
 
 REL = "select 'd' || doc_id source_text, 'd' || (doc_id + 1) target_text, (array['enables', 'bypasses', 'mentions', 'requires', 'escalates'])[(doc_id % 5 + 1)::int] relation, (doc_id % 10) / 10.0 confidence from documents"
@@ -228,14 +252,19 @@ def geodesic_path(spark, d):
     return paths.geodesic(_edges(spark, d), _requests(spark, d)).withColumn("total_cost", F.round("total_cost", 6))
 
 
-def _seeds(spark, d, shift: int):
+def _asked(spark, d, shift: int):
+    """query_id, embedding: for each vector whose id is divisible by 100 the one ``shift`` places on."""
     v = _vectors(spark, d)
-    q = v.filter(f"fact_idx % 50 = 0 and fact_idx >= {shift} and fact_idx < {shift} + 250").select((F.col("fact_idx") - shift).alias("query_id"), "embedding")
-    return graph.cosine_topk(v, q, 5).select("query_id", "rank", "fact_idx")
+    i = F.pmod(F.col("fact_idx") - shift, F.lit(v.count()))
+    return v.filter(i % 100 == 0).select(i.alias("query_id"), "embedding")
 
 
-SEED = ", ".join(f"{n} as (select a.vec_id - {s} query_id, row_number() over (partition by a.vec_id order by round(list_inner_product(a.e, b.e), 12) desc, b.vec_id) - 1 as rank, b.vec_id fact_idx from v a, v b where a.vec_id % 50 = 0 and a.vec_id >= {s} and a.vec_id < {s} + 250 qualify rank < 5)" for n, s in (("seeds", 0), ("goals", 250)))
-MULTI = _relaxed("select fact_idx source from (select b.vec_id fact_idx, row_number() over (partition by a.vec_id order by round(list_inner_product(a.e, b.e), 12) desc, b.vec_id) k from v a, v b where a.vec_id % 50 = 0 and a.vec_id < 250) where k <= 3") + ", " + SEED
+def _seeds(spark, d, shift: int):
+    return graph.cosine_topk(_vectors(spark, d), _asked(spark, d, shift), 5).select("query_id", "rank", "fact_idx")
+
+
+SEED = ", ".join(f"{n} as materialized (select (a.vec_id - {k} + {N}) % {N} query_id, row_number() over (partition by a.vec_id order by round(list_inner_product(a.e, b.e), 12) desc, b.vec_id) - 1 as rank, b.vec_id fact_idx from v a, v b where (a.vec_id - {k} + {N}) % {N} % 100 = 0 qualify rank < 5)" for n, k in (("seeds", 0), ("goals", 250)))
+MULTI = _relaxed("select fact_idx source from (select b.vec_id fact_idx, row_number() over (partition by a.vec_id order by round(list_inner_product(a.e, b.e), 12) desc, b.vec_id) k from v a, v b where a.vec_id % 100 = 0) where k <= 3") + ", " + SEED
 
 
 @_query(MULTI + f" select s.query_id, round(min(d.c), 6) total_cost from seeds s join goals g using (query_id) join d{ROUNDS} d on d.source = s.fact_idx and d.node = g.fact_idx where s.rank < 3 and g.rank < 3 and s.fact_idx <> g.fact_idx group by s.query_id")
@@ -260,11 +289,11 @@ def tangents(spark, d):
     return paths.tangents(edges, paths.saved(paths.geodesic(edges, _requests(spark, d)), "path")).withColumn("weight", F.round("weight", 6))
 
 
-@_query(PATH + COORDS + f""", way as (select p.query_id, coords from path p join coords using (fact_idx)) select w.query_id, c.fact_idx, round(1 / (1 + 5 * min({DIST})), 6) proximity from coords c, way w where c.fact_idx < 100 group by 1, 2""")
+@_query(PATH + COORDS + f""", way as (select p.query_id, coords from path p join coords using (fact_idx)) select w.query_id, c.fact_idx, round(1 / (1 + 5 * min({DIST})), 6) proximity from coords c, way w group by 1, 2""")
 def path_proximity(spark, d):
     c = _coords(spark, d)
     way = paths.saved(paths.geodesic(_edges(spark, d), _requests(spark, d)), "path").join(c, "fact_idx").select("query_id", F.col("coords").alias("p"))
-    far = c.filter("fact_idx < 100").crossJoin(F.broadcast(way)).groupBy("query_id", "fact_idx").agg(F.min(euclid(F.col("coords"), F.col("p"))).alias("d"))
+    far = c.crossJoin(small(way)).groupBy("query_id", "fact_idx").agg(F.min(euclid(F.col("coords"), F.col("p"))).alias("d"))
     return far.select("query_id", "fact_idx", F.round(blend.proximity(F.col("d")), 6).alias("proximity"))
 
 
@@ -274,13 +303,70 @@ def fallback_centroid(spark, d):
     return paths.fallback(_coords(spark, d), _seeds(spark, d, 0), 10).withColumn("manifold_distance", F.round("manifold_distance", 6))
 
 
+BEST = MULTI + f", req as (select query_id, s.fact_idx source, g.fact_idx target from seeds s join goals g using (query_id) join d{ROUNDS} d on d.source = s.fact_idx and d.node = g.fact_idx where s.rank < 3 and g.rank < 3 and s.fact_idx <> g.fact_idx qualify row_number() over (partition by query_id order by d.c, s.rank, g.rank) = 1), " + _TRACE + COORDS
+RETRIEVED = BEST + f""", way as (select p.query_id, p.position, p.fact_idx, coords from path p join coords using (fact_idx)),
+near as (select w.query_id, c.fact_idx, round({DIST}, 4) d from coords c, way w where not exists (select 1 from path p where p.query_id = w.query_id and p.fact_idx = c.fact_idx) and {DIST} < 0.4 qualify row_number() over (partition by w.query_id, c.fact_idx order by {DIST}, w.position) = 1),
+around as (select query_id, fact_idx, d from near qualify row_number() over (partition by query_id order by d, fact_idx) <= 20),
+found as (select query_id, row_number() over (partition by query_id order by part, key, fact_idx) n, fact_idx, on_geodesic, distance from (select query_id, 0 part, position::double key, fact_idx, true on_geodesic, null::double distance from path union all select query_id, 1, d, fact_idx, false, d from around) qualify n <= 10)"""
+
+
+@_query(RETRIEVED + " select f.query_id, n, fact_idx, 'doc' || fact_idx fact_id, on_geodesic, distance, round(1 / (1 + distance), 6) combined_score, substr(d.text, 1, 200) as text from found f join documents d on d.doc_id = f.fact_idx")
+def geodesic_retrieve_explicit(spark, d):
+    """Retrieval over an explicit coordinate table, every request having a goal that can be reached."""
+    out = paths.geodesic_retrieve(_edges(spark, d), _coords(spark, d), _facts(spark, d), _seeds(spark, d, 0), _seeds(spark, d, 250), radius=0.4)
+    return out.select("query_id", "n", "fact_idx", "fact_id", "on_geodesic", "distance", F.round("combined_score", 6).alias("combined_score"), "text")
+
+
 @_query()
 def geodesic_retrieve(spark, d):
+    """Retrieval over the diffusion map; ``geodesic_retrieve_explicit`` holds the same operator against SQL."""
     edges = _edges(spark, d)
     coords = paths.saved(spectral.diffusion_map(edges).select("fact_idx", "coords"), "manifold")
     return paths.geodesic_retrieve(edges, coords, _facts(spark, d), _seeds(spark, d, 0), _seeds(spark, d, 250), radius=0.15)
 
 
+@_query(BEST + """, s as (select *, count(*) over (partition by query_id) size from path)
+ select s.query_id, s.position waypoint, e.dst fact_idx, round(e.w, 6) weight from s join edges e on e.src = s.fact_idx where (s.position = 0 or s.position = s.size // 2 or s.position = s.size - 1)
+ and not exists (select 1 from path p where p.query_id = s.query_id and p.fact_idx = e.dst) qualify row_number() over (partition by s.query_id, s.position order by round(e.w, 12) desc, e.dst) <= 5""")
+def retrieve_tangents(spark, d):
+    edges = _edges(spark, d)
+    found = paths.geodesic_retrieve(edges, _coords(spark, d), _facts(spark, d), _seeds(spark, d, 0), _seeds(spark, d, 250), top_k=40)
+    return paths.retrieve_tangents(edges, paths.saved(found, "found")).withColumn("weight", F.round("weight", 6))
+
+
+def _model(spark, d):
+    """A model whose manifold holds nine of ten facts; the others are projected."""
+    on = _vectors(spark, d).filter("fact_idx % 10 != 7")
+    edges = paths.saved(graph.adjacency(paths.saved(graph.knn(on), "knn")), "edges")
+    return {"facts": _facts(spark, d), "vectors": _vectors(spark, d), "edges": edges, "manifold": _coords(spark, d).filter("fact_idx % 10 != 7")}
+
+
+def _encoder(spark, d):
+    """Texts stand for the vector whose number is their length."""
+    v = _vectors(spark, d)
+    n = v.count()
+    return lambda rows: rows.withColumn("fact_idx", F.length("text") % n).join(v, "fact_idx").drop("fact_idx")
+
+
+def _searches(spark, d):
+    goals = _asked(spark, d, 250).select("query_id", F.col("embedding").alias("goal_embedding")).filter("query_id % 300 != 0")
+    return _asked(spark, d, 0).withColumnRenamed("embedding", "query_embedding").join(goals, "query_id", "left")
+
+
+@_query()
+def full_search(spark, d):
+    """One search over all channels for every vector whose id is divisible by 100; the test suite holds it against a plain version."""
+    out = manifold.full_search(_model(spark, d), _searches(spark, d), _chains(spark, d), radius=0.4, open_end=True, encoder=_encoder(spark, d))
+    return _rounded(out.select("query_id", "rank", "text_key", "retrieval_method", "on_manifold", "faiss_relevance", "geo_proximity", "shape_bonus", "blended_score"))
+
+
+@_query()
+def smart_search(spark, d):
+    """Routed searches, each with the text of the document of its number as the query."""
+    asked = _searches(spark, d).join(_t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 400).alias("query")), "query_id")
+    return _rounded(manifold.smart_search(_model(spark, d), asked).select("query_id", "rank", "text", "relevance", "category", "engine_used"))
+
+
 # Structure, routing, shapes
 
 
@@ -307,11 +393,10 @@ def _structure_sql(ident: str, table: str) -> str:
 
 @_query(f"select id doc_id, k - 1 dim, round(vec[k], 2) score from ({_structure_sql('doc_id', 'documents')}), range(1, 8) r(k)")
 def structure_vectors(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(structure.structure_vector(F.col("text"))).alias("dim", "score")).withColumn("dim", F.col("dim").cast("bigint")).withColumn("score", F.round("score", 2))
+    return structure.with_structure(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode("vec").alias("dim", "score")).withColumn("dim", F.col("dim").cast("bigint")).withColumn("score", F.round("score", 2))
 
 
 def _re2(p: str) -> str:
-    """RE2 spelling: its \\b is of ASCII words alone, which the texts' letters need replaced."""
     return p.replace("'", "''")
 
 
@@ -326,12 +411,13 @@ def _route_sql(text: str) -> str:
     return "list_max([" + ", ".join(f"{{s: ({one(c)})::double, place: {-i}, c: '{c}'}}" for i, c in enumerate(routing.PATTERNS)) + "]).c"
 
 
-_ASCII = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
+# RE2 knows words of ASCII letters only: in the SQL all other letters and digits are written _, a word character that no pattern holds.
+_ASCII = r"regexp_replace(text, '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', '_', 'g')"
 
 
 @_query(f"select conv_id, turn, {_route_sql('t')} category from (select conv_id, turn, {_ASCII} t from conversations)")
 def classify_query(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", routing.category(F.regexp_replace("text", r"[^\x00-\x7F]", "x")).alias("category"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", routing.category(F.col("text")).alias("category"))
 
 
 _LABELLED = " union all ".join(f"select '{q}' q, '{c}' expected" for q, c in routing.LABELLED)
@@ -343,14 +429,34 @@ def router_accuracy(spark, d):
     return evaluation.accuracy(rows)
 
 
-@_query("select conv_id, turn, case when turn % 3 = 0 then '0.25,1.0,0.0,0.5,0.12,0.0,1.0' end vec from conversations where turn < 4")
+@_query("select conv_id, turn, case when turn % 3 = 0 then '0.25,1.0,0.0,0.5,0.12,0.0,1.0' end vec from conversations")
 def llm_parse(spark, d):
     reply = F.when(F.col("turn") % 3 == 0, "<think>[1,2]\nno</think>Here: [0.25, 1.5, 0.0, 0.5, 0.123, 0, 1]").when(F.col("turn") % 3 == 1, "[0.1, 0.2]").otherwise("none")
-    return _t(spark, d, "conversations").filter("turn < 4").select("conv_id", "turn", F.array_join(structure.parse_model_reply(reply).cast("array<string>"), ",").alias("vec"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(structure.parse_model_reply(reply).cast("array<string>"), ",").alias("vec"))
+
+
+_READ = "([0.25, 1.0, 0.0, 0.5, 0.12, 0.0, 1.0]::double[])"
+
+
+@_query(f"select conv_id, turn, k - 1 dim, round(case when turn % 3 = 0 then {_READ}[k] else vec[k] end, 2) score from (select x.id.conv_id conv_id, x.id.turn turn, x.vec vec from ({_structure_sql('{conv_id: conv_id, turn: turn}', 'conversations')}) x), range(1, 8) r(k)")
+def classify_fact(spark, d):
+    """A model's reply where it can be read, else the keywords."""
+    reply = F.when(F.col("turn") % 3 == 0, "<think>[1,2]\nno</think>Here: [0.25, 1.5, 0.0, 0.5, 0.123, 0, 1]").when(F.col("turn") % 3 == 1, "[0.1, 0.2]")
+    rows = structure.classify_facts(_t(spark, d, "conversations").withColumn("reply", reply), reply="reply")
+    return rows.select("conv_id", "turn", F.posexplode("vec").alias("dim", "score")).select("conv_id", "turn", F.col("dim").cast("bigint").alias("dim"), F.round("score", 2).alias("score"))
+
+
+@_query(f"select doc_id, k - 1 dim, (array{structure.DIMENSIONS})[k] dimension, round(vec[k], 2) score from (select id doc_id, vec from ({_structure_sql('doc_id', 'documents')})), range(1, 8) r(k) where doc_id % 100 = 0")
+def named_dimensions(spark, d):
+    rows = structure.with_structure(_t(spark, d, "documents").filter("doc_id % 100 = 0").select("doc_id", "text"))
+    names = {n: i for i, n in enumerate(structure.DIMENSIONS)}
+    out = rows.select("doc_id", F.explode(structure.named(F.col("vec"))).alias("dimension", "score"))
+    place = F.coalesce(*[F.when(F.col("dimension") == n, F.lit(i)) for n, i in names.items()])
+    return out.select("doc_id", place.cast("bigint").alias("dim"), "dimension", F.round("score", 2).alias("score"))
 
 
 def _steps(spark, d):
-    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", structure.structure_vector(F.col("text")).alias("vec"))
+    rows = structure.with_structure(_t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "text"))
     return shape.sequences(rows, "query_id", "turn", "vec")
 
 
@@ -368,33 +474,59 @@ def shape_descriptor(spark, d):
 
 
 def _chains(spark, d):
-    """Known procedures: the first conversations with at least two turns."""
-    named = _steps(spark, d).filter("query_id < 12").filter(F.size("steps") >= 2)
-    return named.select(F.col("query_id").cast("int").alias("chain_idx"), F.concat(F.lit("chain"), "query_id").alias("name"), F.transform("steps", lambda _, i: F.concat(F.lit("step "), i)).alias("queries"), "steps")
+    """Known procedures: the conversations of at least two turns."""
+    known = _steps(spark, d).filter(F.size("steps") >= 2)
+    return known.select(F.col("query_id").cast("int").alias("chain_idx"), F.concat(F.lit("chain"), "query_id").alias("name"), F.transform("steps", lambda _, i: F.concat(F.lit("step "), i)).alias("queries"), "steps")
+
+
+def _paths(spark, d):
+    """Searches: every tenth conversation (there are few), against all known procedures."""
+    return _steps(spark, d).filter("query_id % 10 = 0")
 
 
 @_query(DELTA + """, n as (select conv_id, sqrt(sum(c * c)) n from descr group by conv_id), size as (select conv_id from conversations group by conv_id having count(*) >= 2)
  select a.conv_id query_id, b.conv_id::int chain_idx, 'chain' || b.conv_id chain_name, round(sum(a.c * b.c) / any_value(x.n * y.n), 4) descriptor_similarity from descr a join descr b using (dim) join n x on x.conv_id = a.conv_id join n y on y.conv_id = b.conv_id join size on size.conv_id = b.conv_id
- where b.conv_id < 12 and x.n >= 1e-8 and y.n >= 1e-8 group by a.conv_id, b.conv_id qualify row_number() over (partition by a.conv_id order by round(sum(a.c * b.c) / any_value(x.n * y.n), 4) desc, b.conv_id) <= 3""")
+ where a.conv_id % 10 = 0 and x.n >= 1e-8 and y.n >= 1e-8 group by a.conv_id, b.conv_id qualify row_number() over (partition by a.conv_id order by round(sum(a.c * b.c) / any_value(x.n * y.n), 4) desc, b.conv_id) <= 3""")
 def fast_match(spark, d):
-    return shape.fast_match(_steps(spark, d), _chains(spark, d))
+    return shape.fast_match(_paths(spark, d), _chains(spark, d))
 
 
-@_query()
+# Accumulated costs row by row, then the alignment back from its end; lists count from 1, so t[i + 1][j + 1] is the cost of the first i and j steps.
+DTW = DELTA.replace("with ", "with recursive ", 1) + """, seq as materialized (select conv_id, list(vec order by turn) steps, count(*) n from s group by conv_id having count(*) >= 2),
+pair as materialized (select a.conv_id q, b.conv_id c, a.steps x, b.steps y, a.n n, b.n m from seq a, seq b where a.conv_id % 10 = 0),
+filled as (select q, c, x, y, n, m, 0::bigint i, [[0::double] || list_transform(range(m), lambda k: 'inf'::double)] t from pair
+ union all select q, c, x, y, n, m, i + 1, list_append(t, list_reduce([['inf'::double]] || list_transform(range(1, m + 1), lambda j: [j::double, list_distance(x[i + 1], y[j])]), lambda cur, e: list_append(cur, e[2] + least(t[i + 1][e[1]::int], t[i + 1][e[1]::int + 1], cur[-1])))) from filled where i < n),
+full_table as materialized (select q, c, n, m, t from filled where i = n),
+ranked as materialized (select *, row_number() over (partition by q order by round(t[n + 1][m + 1] / greatest(n, m), 9), c) - 1 as rank from full_table qualify rank < 3)"""
+_BACK = """, back as (select q, c, rank, m, t, n i, {end} j, [(n - 1, {end} - 1)] pairs from ranked
+ union all select q, c, rank, m, t, p[2]::bigint, p[3]::bigint, case when p[2] > 0 and p[3] > 0 then list_prepend((p[2]::bigint - 1, p[3]::bigint - 1), pairs) else pairs end from (select *, list_min([[t[i][j], i - 1, j - 1], [t[i][j + 1], i - 1, j], [t[i + 1][j], i, j - 1]]) p from back where i > 0 and j > 0)),
+aligned as (select q, c, rank, m, t, pairs from back where i = 0 or j = 0 qualify row_number() over (partition by q, c order by i + j) = 1)"""
+
+
+@_query(DTW + _BACK.replace("{end}", "m") + " select q query_id, rank::int match_rank, c::int chain_idx, 'chain' || c chain_name, round(t[-1][-1] / greatest(len(t) - 1, m), 4) dtw_distance, len(pairs)::int alignment_length, m::int known_path_length, 0::int remaining_steps, 1.0::double coverage from aligned")
 def dtw_match(spark, d):
-    return shape.match_shapes(_steps(spark, d), _chains(spark, d)).withColumn("remaining_steps", F.size("remaining_steps"))
+    return shape.match_shapes(_paths(spark, d), _chains(spark, d)).withColumn("remaining_steps", F.size("remaining_steps"))
 
 
-@_query()
+@_query(DTW.replace(" qualify rank < 3", "") + _BACK.replace("{end}", "m") + " select q query_id, c::int chain_idx, p[1]::int a, p[2]::int b from (select q, c, unnest(pairs) p from aligned)")
 def dtw_alignment(spark, d):
     chain = _chains(spark, d).select(F.col("chain_idx"), F.col("steps").alias("known"))
-    pairs = _steps(spark, d).crossJoin(F.broadcast(chain)).filter(F.size("steps") >= 2)
+    pairs = chain.crossJoin(small(_paths(spark, d).filter(F.size("steps") >= 2)))
     return pairs.select("query_id", "chain_idx", F.explode(shape.dtw_alignment("steps", "known")).alias("x")).select("query_id", "chain_idx", "x.a", "x.b")
 
 
-@_query()
+_END = "list_position(t[n + 1][2:], list_min(t[n + 1][2:]))"
+
+
+@_query(DTW + _BACK.replace("{end}", _END) + """, free as (select q, rank, k step, 'step ' || k query from aligned, range(0, 1000) r(k) where k < m and not list_contains(list_transform(pairs, lambda p: p[2]), k))
+ select query_id, row_number() over (partition by query_id order by rank, step) - 1 as n, query from (select q query_id, query, min(rank * 1000 + step) place, min(rank) rank, min(step) step from free group by q, query) order by place""".replace("order by rank, step) - 1 as n", "order by place) - 1 as n"))
 def remaining_steps_open_end(spark, d):
-    return shape.guided_queries(shape.match_shapes(_steps(spark, d), _chains(spark, d), open_end=True))
+    return shape.guided_queries(shape.match_shapes(_paths(spark, d), _chains(spark, d), open_end=True))
+
+
+@_query("select conv_id chain_idx, k::int step, 'step ' || k query from (select conv_id, count(*) n from conversations group by conv_id having n >= 2), range(0, 1000) r(k) where k < n")
+def chain_steps(spark, d):
+    return shape.chain_queries(_chains(spark, d), F.lit(True)).withColumn("chain_idx", F.col("chain_idx").cast("bigint"))
 
 
 # Pool, score, evaluate
@@ -513,9 +645,59 @@ def baseline_delta(spark, d):
     return _rounded(evaluation.deltas(evaluation.macro_averages(_metrics(spark, d)), "flat"))
 
 
+def _results(spark, d):
+    """Results of two engines and two runs (the second run's texts end one document later), and the cases."""
+    docs = _t(spark, d, "documents").select(F.col("source").alias("test_id"), "doc_id", "text")
+    each = docs.withColumn("engine", F.explode(F.array(F.lit("flat"), F.lit("geodesic")))).withColumn("run", F.explode(F.array(F.lit(1), F.lit(2))))
+    order = F.when(F.col("engine") == "flat", F.col("doc_id")).otherwise(-F.col("doc_id"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("test_id", "engine", "run").orderBy(order)) - F.when(F.col("run") == 2, 1).otherwise(0)).filter("rank > 0")
+    strings = lambda *x: F.array(*map(F.lit, x))
+    cases = docs.select("test_id").distinct().select("test_id", F.concat(F.lit("cat"), (F.length("test_id") % 3).cast("string")).alias("category"), strings("the", "Tion", "zzz", "ande").alias("expected_keywords"), strings("then inside the", "of a", "erent onandzzz tionth", "zzzz yyyyy").alias("attack_chain"))
+    return ranked, cases
+
+
+_COMPARED = _EVAL.split("cases as (")[0].replace("with r as (select source test_id, e.engine, text, row_number()", "with r0 as (select source test_id, e.engine, u.run, text, row_number()").replace("partition by source, e.engine", "partition by source, e.engine, u.run").replace("union all select 'geodesic') e)", "union all select 'geodesic') e, (select 1 run union all select 2) u), r as (select test_id, engine, run, text, rank - (run - 1) as rank from r0 where rank >= run)") + "cases as (" + _EVAL.split("cases as (")[1].split("b5 as (")[0] + """b5 as (select test_id, engine, run, lower(string_agg(text, chr(10) order by rank)) blob from r where rank <= 5 group by all), b10 as (select test_id, engine, run, lower(string_agg(text, chr(10) order by rank)) blob from r where rank <= 10 group by all),
+joined as (select c.*, t.engine, t.run, coalesce(x.blob, '') five, coalesce(y.blob, '') ten from cases c cross join (select distinct engine, run from r) t left join b5 x on x.test_id = c.test_id and x.engine = t.engine and x.run = t.run left join b10 y on y.test_id = c.test_id and y.engine = t.engine and y.run = t.run),
+raw as (select *, len(list_filter(kw, lambda w: contains(five, lower(w)))) / len(kw) recall_5, len(list_filter(kw, lambda w: contains(ten, lower(w)))) / len(kw) recall_10, list_filter(kw, lambda w: contains(ten, lower(w))) found, list_filter(kw, lambda w: not contains(ten, lower(w))) missing,
+ len(list_filter(chain, lambda p: len(list_filter(string_split_regex(lower(p), '\\s+'), lambda w: length(w) > 3)) = 0 or 2 * len(list_filter(string_split_regex(lower(p), '\\s+'), lambda w: length(w) > 3 and contains(ten, w))) >= len(list_filter(string_split_regex(lower(p), '\\s+'), lambda w: length(w) > 3)))) covered from joined)"""
+
+
+@_query(_COMPARED + " select test_id, engine, run, category, round(recall_5, 6) recall_5, round(recall_10, 6) recall_10, round(covered / len(chain), 6) path_completeness, array_to_string(found, ',') keywords_found, array_to_string(missing, ',') keywords_missing, covered::int chain_covered, len(chain)::int chain_total from raw")
+def evaluate_cases(spark, d):
+    out = evaluation.evaluate(*_results(spark, d))
+    return _rounded(out.withColumn("keywords_found", F.array_join("keywords_found", ",")).withColumn("keywords_missing", F.array_join("keywords_missing", ",")))
+
+
+@_query(_COMPARED + " select test_id, engine, round(avg(recall_5), 6) recall_5, round(avg(recall_10), 6) recall_10, round(avg(covered / len(chain)), 6) path_completeness, count(*) runs from raw where engine = 'geodesic' and test_id in (select min(source) from documents union select max(source) from documents) group by all")
+def comparison_selected(spark, d):
+    """One engine on two of the cases, averaged over runs."""
+    ranked, cases = _results(spark, d)
+    ids = list(cases.agg(F.min("test_id"), F.max("test_id")).first())
+    return _rounded(evaluation.compare(ranked, cases, ["geodesic"], ids)["per_case"])
+
+
+@_query(POOL + ", cfg as (" + " union all ".join(f"select '{n}' as label, {a}::double a, {b}::double b, {c}::double c" for n, a, b, c in CONFIGS) + """),
+w as (select label, query_id, row_number() over (partition by label, query_id order by round(a * faiss_relevance + b * geo_proximity + c * shape_bonus, 12) desc, place) as rank, text_key as text from cfg, pool qualify rank <= 10),
+five as (select label, query_id, string_agg(text, chr(10) order by rank) blob from w where rank <= 5 group by all), ten as (select label, query_id, string_agg(text, chr(10) order by rank) blob from w group by all), k as (select ['the', 'tion', 'zzz', 'ande', 'onand'] kw)
+ select label, round(avg(len(list_filter(kw, lambda x: contains(five.blob, x))) / 5), 6) recall_5, round(avg(len(list_filter(kw, lambda x: contains(ten.blob, x))) / 5), 6) recall_10, round(avg((1 + (contains(ten.blob, 'onand'))::int) / 2), 6) path_completeness, count(*) cases from five join ten using (label, query_id), k group by label""")
+def weight_sweep_metrics(spark, d):
+    configs = spark.createDataFrame(CONFIGS, "label string, alpha double, beta double, gamma double")
+    pooled = _pool(spark, d)
+    strings = lambda *x: F.array(*map(F.lit, x))
+    cases = pooled.select(F.col("query_id").alias("test_id")).distinct().select("test_id", F.lit("all").alias("category"), strings("the", "tion", "zzz", "ande", "onand").alias("expected_keywords"), strings("of a", "onand").alias("attack_chain"))
+    return _rounded(evaluation.sweep_metrics(blend.weight_sweep(pooled, configs).withColumnRenamed("text_key", "text"), cases))
+
+
 # Sources and increments
 
 
+@_query("select doc_id query_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') query, case when doc_id % 2 = 0 then 'g' end goal, case when doc_id % 3 = 0 then 5 else 10 end::int top_k, case when query = '' then 'query required' end error from documents")
+def request_checks(spark, d):
+    i = F.col("doc_id")
+    rows = _t(spark, d, "documents").select(i.alias("query_id"), F.col("text").alias("query"), F.when(i % 2 == 0, " g ").otherwise(" ").alias("goal"), F.when(i % 3 == 0, 5).alias("top_k"))
+    return tables.checked_requests(rows)
+
+
 @_query("select source fact_id, text from documents qualify row_number() over (partition by source order by length(text) % 5, doc_id) = 1")
 def facts_first_dedupe(spark, d):
     hits = _t(spark, d, "documents").select((F.length("text") % 5).alias("query_no"), F.col("doc_id").alias("position"), F.col("source").alias("fact_id"), "text")
@@ -540,14 +722,14 @@ def numbered_facts(spark, d):
 
 @_query(f"select conv_id, turn, row_number() over (partition by conv_id order by rel desc, turn) as rank, c category from (select conv_id, turn, case when turn % 2 = 0 then length(text) % 11 / 10.0 else 0.5 end rel, {_route_sql('t')} c from (select *, {_ASCII} t from conversations where text <> '')) where c <> 'attack_path' qualify rank <= 3")
 def smart_search_fallback(spark, d):
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("query"), F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), "text", F.when(F.col("turn") % 2 == 0, F.length("text") % 11 / 10.0).alias("relevance"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"), F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), "text", F.when(F.col("turn") % 2 == 0, F.length("text") % 11 / 10.0).alias("relevance"))
     routed = blend.route(rows).filter("category <> 'attack_path'")
     keys = routed.select("conv_id", "turn", "category")
     ranked = blend.rerank(blend.normalise(routed.select("query_id", "seq", "text", "relevance")), 3)
     return ranked.select(F.col("query_id").alias("conv_id"), F.col("seq").alias("turn"), "rank").join(keys, ["conv_id", "turn"])
 
 
-@_query(EDGES + " select (select count(*) from embeddings) facts, 64::bigint dims, count(*) nnz from edges")
+@_query(EDGES + " select (select count(*) from embeddings) facts, 12::bigint dims, count(*) nnz, (select count(*) from (select conv_id from conversations group by conv_id having count(*) >= 2)) chains from edges")
 def manifold_stats(spark, d):
-    n = _vectors(spark, d).agg(F.count("*").alias("facts"), F.max(F.size("embedding")).cast("bigint").alias("dims"))
-    return n.crossJoin(_edges(spark, d).agg(F.count("*").alias("nnz")))
+    n = _coords(spark, d).agg(F.count("*").alias("facts"), F.max(F.size("coords")).cast("bigint").alias("dims"))
+    return n.crossJoin(_edges(spark, d).agg(F.count("*").alias("nnz"))).crossJoin(_chains(spark, d).agg(F.count("*").alias("chains")))

@@ -60,3 +60,51 @@ def deltas(macro: DataFrame, baseline: str) -> DataFrame:
 
 def accuracy(labelled: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:
     return labelled.agg(F.avg((F.col(predicted) == F.col(expected)).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def select_cases(cases: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """The cases with these ids; all without any."""
+    return cases.filter(F.col("test_id").isin(ids)) if ids else cases
+
+
+def evaluate(results: DataFrame, cases: DataFrame, engines: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
+    """One row for each case, engine and run: recall_5, recall_10, path_completeness, keywords_found, keywords_missing, chain_covered, chain_total (latency_ms if the results have it).
+
+    results: test_id, engine, run, rank (from 1), text; cases: test_id, category, expected_keywords, attack_chain. A case
+    without results for an engine that ran is one of an empty text.
+    """
+    if engines:
+        results = results.filter(F.col("engine").isin(engines))
+    keys = ["test_id", "engine", "run"]
+    cases = select_cases(cases, ids)
+    runs = cases.join(F.broadcast(results.select("engine", "run").distinct()))
+    five, ten = (blob(results, k, keys).withColumnRenamed("blob", name) for k, name in ((5, "b5"), (10, "b10")))
+    met = runs.join(five, keys, "left").join(ten, keys, "left").fillna("", ["b5", "b10"])
+    kw, chain = F.col("expected_keywords"), F.col("attack_chain")
+    out = met.select(
+        *keys, "category", recall(F.col("b5"), kw).alias("recall_5"), recall(F.col("b10"), kw).alias("recall_10"), path_completeness(F.col("b10"), chain).alias("path_completeness"),
+        found(F.col("b10"), kw).alias("keywords_found"), missing(F.col("b10"), kw).alias("keywords_missing"), covered_steps(F.col("b10"), chain).alias("chain_covered"), F.size(chain).alias("chain_total"),
+    )
+    if "latency_ms" in results.columns:
+        out = out.join(results.groupBy(*keys).agg(F.max("latency_ms").alias("latency_ms")), keys, "left")
+    return out
+
+
+def compare(results: DataFrame, cases: DataFrame, engines: list[str] | None = None, ids: list[str] | None = None, baseline: str = "flat") -> dict[str, DataFrame]:
+    """The reports of a comparison: raw rows, averages by case, by engine and by category, and differences from the baseline."""
+    raw = evaluate(results, cases, engines, ids)
+    per_case = case_averages(raw)
+    averages = macro_averages(per_case)
+    return {"raw_results": raw, "per_case": per_case, "averages": averages, "per_category": category_averages(per_case, cases.select("test_id", "category")), "deltas": deltas(averages, baseline)}
+
+
+def write_reports(reports: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """Each report as a folder of JSON lines."""
+    for name, df in reports.items():
+        df.write.mode(mode).json(f"{path}/{name}")
+
+
+def sweep_metrics(ranked: DataFrame, cases: DataFrame) -> DataFrame:
+    """label, recall_5, recall_10, path_completeness, cases of a weight sweep (label, query_id, rank, text), averaged over the cases (test_id is the query's id)."""
+    runs = ranked.select(F.col("query_id").alias("test_id"), F.col("label").alias("engine"), F.lit(1).alias("run"), "rank", "text")
+    return macro_averages(case_averages(evaluate(runs, cases))).withColumnRenamed("engine", "label")

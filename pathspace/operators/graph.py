@@ -11,52 +11,102 @@ from pathspace.functions.vectors import dot, doubles, norm
 
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, fact_idx, similarity: the k most similar facts of every query vector.
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length as a matrix, from the column's buffer."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(one), -1)
 
-    The facts stay where they are: each partition keeps k rows for each query before any shuffle (window group limit).
+
+def _best(rows: np.ndarray, others: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the k others of greatest similarity at 12 decimals, of equal ones those of least id."""
+    sim = np.round(sim, 12)
+    order = np.argsort(others, kind="stable")
+    sim, others = sim[:, order], others[order]
+    if k < sim.shape[1]:
+        # All that tie with the k-th are candidates, so that the least ids can be taken.
+        least = np.partition(sim, -k, axis=1)[:, -k]
+        at, which = np.nonzero(sim >= least[:, None])
+    else:
+        at, which = np.nonzero(np.ones(sim.shape, bool))
+    value = sim[at, which]
+    rank = np.lexsort((which, -value, at))
+    at, which, value = at[rank], which[rank], value[rank]
+    first = np.searchsorted(at, np.arange(len(rows)))
+    keep = (np.arange(len(at)) - first[at] < k) & np.isfinite(value)
+    return rows[at[keep]], others[which[keep]], value[keep]
+
+
+def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[str]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.table({n: pa.array(np.concatenate([x[i] for x in parts]) if parts else [], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+
+STEP = 500
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, most: int = 4_096) -> DataFrame:
+    """query_id, rank, fact_idx, similarity: the k most similar facts of every query vector, by falling similarity (12 decimals), then id.
+
+    Up to ``most`` queries go to every task as one matrix, the facts stay where they are, and each batch keeps k rows for each
+    query before the shuffle; more queries meet the facts block by block, as in ``knn``.
     """
-    pairs = vectors.select("fact_idx", doubles(F.col("embedding")).alias("e")).crossJoin(F.broadcast(queries.select("query_id", doubles(F.col("embedding")).alias("q"))))
-    scored = pairs.select("query_id", "fact_idx", dot(F.col("e"), F.col("q")).alias("similarity"))
+    asked = queries.select("query_id", doubles(F.col("embedding")).alias("e"))
+    if asked.limit(most + 1).count() > most:
+        found = _blocked(vectors.select("fact_idx", doubles(F.col("embedding")).alias("e")), asked.withColumnRenamed("query_id", "fact_idx"), k, False, 4_000)
+        found = found.select(F.col("src").alias("query_id"), F.col("dst").alias("fact_idx"), F.col("sim").alias("similarity"))
+    else:
+        table = asked.toArrow()
+        ids, q = table.column("query_id").to_numpy(), _matrix(table.column("e")) if table.num_rows else np.zeros((0, 1))
+
+        def run(batches):
+            for b in batches:
+                facts, e = b.column(0).to_numpy(), _matrix(b.column(1))
+                parts = [_best(ids[s : s + STEP], facts, q[s : s + STEP] @ e.T, k) for s in range(0, len(ids), STEP)] if len(facts) else []
+                yield from _found(parts, ["query_id", "fact_idx", "similarity"]).to_batches()
+
+        found = vectors.select("fact_idx", doubles(F.col("embedding")).alias("e")).mapInArrow(run, "query_id bigint, fact_idx bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "fact_idx")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).select("query_id", "rank", "fact_idx", "similarity")
+    return found.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).select("query_id", "rank", "fact_idx", "similarity")
 
 
-def knn(vectors: DataFrame, k: int = 15, block: int = 2_000) -> DataFrame:
-    """src, rank (from 0), dst, dist: exact neighbours without the vector itself, by falling similarity, then dst.
+def _blocked(facts: DataFrame, rows: DataFrame, k: int, same: bool, block: int) -> DataFrame:
+    """src, dst, sim: for each of ``rows`` (fact_idx, e) the k best of ``facts`` within each pair of blocks of bounded size, each one matrix product.
 
-    Vectors are dealt into blocks of bounded size; each pair of blocks is one matrix product that keeps k per row, and a
-    second top-k merges blocks. Work is quadratic, as exactness asks; what moves is each vector once for each block.
+    With ``same`` both are one table: a vector isn't its own neighbour, and each pair of blocks is multiplied once for both directions.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    cell = vectors.select("fact_idx", doubles(F.col("embedding")).alias("e"), F.pmod(F.xxhash64("fact_idx"), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = cell.select(F.col("own").alias("i"), every.alias("j"), F.col("fact_idx").alias("src"), F.col("e").alias("x"))
-    right = cell.select(every.alias("p"), F.col("own").alias("q"), F.col("fact_idx").alias("dst"), F.col("e").alias("y"))
+    count = lambda df: max(1, -(-df.count() // block))
+    n = count(facts)
+    m = n if same else count(rows)
+    own = lambda blocks: F.pmod(F.xxhash64("fact_idx"), F.lit(blocks)).cast("int")
+    right = facts.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("p"), own(n).alias("q"), F.col("fact_idx").alias("dst"), F.col("e").alias("y"))
+    left = rows.select(own(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.col("fact_idx").alias("src"), F.col("e").alias("x"))
+    if same:
+        left, right = left.filter("i <= j"), right.filter("p <= q")
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        ids, other = x.column("src").to_numpy(), y.column("dst").to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(ids) and len(other):
-            a, b = np.array(x.column("x").to_pylist(), float), np.array(y.column("y").to_pylist(), float)
-            order = np.argsort(other, kind="stable")
-            other, b = other[order], b[order]
-            for s in range(0, len(ids), 500):
-                sim = a[s : s + 500] @ b.T
-                sim[ids[s : s + 500, None] == other] = -np.inf
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                keep = np.take_along_axis(sim, top, 1)
-                ok = np.isfinite(keep)
-                out[0].append(np.repeat(ids[s : s + 500], ok.sum(1)))
-                out[1].append(other[top][ok])
-                out[2].append(keep[ok])
-        cat = lambda i, t: pa.array(np.concatenate(out[i]) if out[i] else [], t)
-        return pa.table({"src": cat(0, pa.int64()), "dst": cat(1, pa.int64()), "sim": cat(2, pa.float64())})
-
-    local = left.groupBy("i", "j").cogroup(right.groupBy("p", "q")).applyInArrow(best, "src bigint, dst bigint, sim double")
-    # Similarities are compared at 12 decimals, so that ties don't depend on how blocks were multiplied.
-    w = Window.partitionBy("src").orderBy(F.desc(F.round("sim", 12)), "dst")
+        parts = []
+        if x.num_rows and y.num_rows:
+            ids, others, a, b = x.column("src").to_numpy(), y.column("dst").to_numpy(), _matrix(x.column("x")), _matrix(y.column("y"))
+            across = same and x.column("i")[0] != x.column("j")[0]
+            for one, two, e, f in ((ids, others, a, b), (others, ids, b, a)) if across else ((ids, others, a, b),):
+                for s in range(0, len(one), STEP):
+                    sim = e[s : s + STEP] @ f.T
+                    if same:
+                        sim[one[s : s + STEP, None] == two] = -np.inf
+                    parts.append(_best(one[s : s + STEP], two, sim, k))
+        return _found(parts, ["src", "dst", "sim"])
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("p", "q")).applyInArrow(best, "src bigint, dst bigint, sim double")
+
+
+def knn(vectors: DataFrame, k: int = 15, block: int = 4_000) -> DataFrame:
+    """src, rank (from 0), dst, dist: exact neighbours without the vector itself, by falling similarity (12 decimals, so that ties don't depend on blocks), then dst.
+
+    Work is quadratic, as exactness asks; what moves is each vector once for each block.
+    """
+    rows = vectors.select("fact_idx", doubles(F.col("embedding")).alias("e"))
+    local = _blocked(rows, rows, k, True, block)
+    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return local.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).select("src", "rank", "dst", (1.0 - F.col("sim")).alias("dist"))
 
 
