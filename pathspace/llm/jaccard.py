@@ -8,12 +8,16 @@ of the same bucket of the k-th frequency class, are left in common. Rare
 shingles are indexed alone, those of the k-th class by all k-combinations within
 a bucket. Two linked classes therefore share an index key (proof at ``keys_of``).
 
-Verification is exact, on whole texts. First each class is compared with a few
-leaders of each of its keys; links make components. Then only keys that hold
-several components matter: all pairs across them, for keys of few members as
-rows, for others in square tiles of bounded size (the keys of one main component
-together), so no task gets an unbounded group and no pair that could link two
-components is left out.
+Keys are shuffled once to find those that several classes share; a bitmap of bounded size
+of these spares nearly all other entries the second shuffle. Verification goes by
+falling certainty, on whole texts, one for each class. First each class is compared with
+the least class that it shares a key with; links make components. Then only keys
+that hold several components matter, and of them only pairs across components whose
+parity bitmaps allow the link: each set has one bit for each of its shingles, modulo a power of two of at
+least its size, so two bitmaps differ in no more places than the sets do (a bound, not
+an estimate). Keys of few members give pairs as rows; those of many give rectangles of bounded size, the
+members outside the key's largest component against all, so a member is sent once unless
+the outside itself is large. No pair that could link two components is left out.
 
 Defined results: a document without words or text has an empty set, links with nothing
 and is its own component; one with fewer words than a shingle has its whole sequence
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -38,6 +42,7 @@ _U = np.uint64
 SKETCH_BITS = 22
 _BLOCK = 8192
 NEED_BITS = 23
+KEY_BITS = 26
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -46,28 +51,51 @@ def class_id(shingles: np.ndarray) -> int:
     return int(tv.mix(np.array([total % (1 << 64)], _U)).view(np.int64)[0])
 
 
+def parity(x: np.ndarray) -> bytes:
+    """One bit for each place modulo the least power of two that isn't less than the set: whether an odd number of shingles falls there."""
+    size = max(64, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x >> _U(20)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: int, size: int, to: int) -> int:
+    """A bitmap of ``size`` bits as that of ``to`` bits."""
+    while size > to:
+        size //= 2
+        bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+    return bits
+
+
+def may_link(n: int, one: bytes, m: int, two: bytes, top: int, whole: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can link."""
+    to = min(len(one), len(two)) * 8
+    x, y = (_folded(int.from_bytes(b, "little"), len(b) * 8, to) for b in (one, two))
+    both = (n + m - (x ^ y).bit_count()) // 2
+    return whole * both >= top * (n + m - both)
+
+
 def _sets_and_sketch(size: int):
-    """Rows (doc_id, n, cls), and at the end the task's counters in blocks."""
+    """Rows (doc_id, n, cls, sig), and at the end the task's counters in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, kind = np.zeros(1 << SKETCH_BITS, np.uint32), pa.int64()
-        names = ["doc_id", "n", "cls", "block", "counts"]
+        names = ["doc_id", "n", "cls", "sig", "block", "counts"]
         for b in batches:
             kind = b.column(0).type
             for s in tv.slices(b.column(1)):
-                n, cls, some = [], [], []
+                n, cls, sig, some = [], [], [], []
                 for x in tv.shingle_sets(s, size):
                     n.append(len(x))
                     cls.append(class_id(x) if len(x) else None)
+                    sig.append(parity(x) if len(x) else None)
                     some.append(x & _U((1 << SKETCH_BITS) - 1))
                 at, times = np.unique(np.concatenate(some), return_counts=True)
                 counters[at] += times.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())], names)
         # A task's counter stops at 65,535, far above any bound between classes.
         blocks = np.minimum(counters, 65_535).astype("<u2").reshape(-1, _BLOCK)
         at = np.flatnonzero(blocks.any(1))
         k = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names)
 
     return run
 
@@ -146,54 +174,69 @@ def combinations(group: list[int], k: int):
     return all_of(group, k)
 
 
-def _entries(size: int, top: int, whole: int, shared):
+def _held(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Which hashes (signed) may be in a bitmap of ``1 << size`` bits."""
+    at = h & ((1 << size) - 1)
+    return (bits[at >> 6] >> (h & 63).astype(_U)) & _U(1) != 0
+
+
+def _entries(size: int, top: int, whole: int, shared, some=None):
+    """(key, cls, n) of each class that a task meets, once; with a bitmap ``some`` only keys that may be in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
+        classes, seen = shared.value, set()
+        held = None if some is None else some.value
         for b in batches:
             for s in tv.slices(b.column(0)):
-                key, rows, single = [], [], []
+                key, rows = [], []
                 for x in tv.shingle_sets(s, size):
-                    if len(x):
-                        k, r, full = keys_of(x, classes, top, whole)
-                        if len(k):
-                            key.append(k)
-                            rows.append((class_id(x), len(x), r, full))
-                            single.append(np.arange(len(k)) < r)
+                    cls = class_id(x) if len(x) else None
+                    if cls is None or cls in seen:
+                        continue
+                    seen.add(cls)
+                    k = tv.signed(keys_of(x, classes, top, whole)[0])
+                    if held is not None:
+                        k = k[_held(held, k, KEY_BITS)]
+                    if len(k):
+                        key.append(k)
+                        rows.append((cls, len(x)))
                 times = [len(k) for k in key]
-                cls, n, r, full = (np.repeat(np.array([row[i] for row in rows], t), times) for i, t in enumerate((np.int64, np.int32, np.int32, bool)))
-                join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(join(key, _U))), pa.array(cls), pa.array(n), pa.array(r), pa.array(join(single, bool)), pa.array(full)], ["key", "cls", "n", "r", "single", "full"])
+                cls, n = (np.repeat(np.array([row[i] for row in rows], t), times) for i, t in enumerate((np.int64, np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key) if key else np.zeros(0, np.int64)), pa.array(cls), pa.array(n)], ["key", "cls", "n"])
 
     return run
 
 
-def _bitmap(needed: DataFrame, column: str) -> np.ndarray:
-    """2**23 bits, set at hashes of the column; at most 131,072 rows come to the driver."""
-    h = F.pmod(F.xxhash64(column), F.lit(1 << NEED_BITS))
-    rows = needed.groupBy(F.shiftright(h, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")).alias("bits")).toArrow()
-    out = np.zeros((1 << NEED_BITS) // 64, np.int64)
+def _bitmap(needed: DataFrame, hashed: Column, size: int) -> np.ndarray:
+    """``1 << size`` bits, set at the hashes; at most a 64th as many rows of two longs come to the driver, whatever the input."""
+    at = hashed.bitwiseAND((1 << size) - 1)
+    rows = needed.select(F.shiftright(at, 6).alias("i"), F.expr("1L").alias("one"), hashed.bitwiseAND(63).cast("int").alias("place"))
+    rows = rows.groupBy("i").agg(F.bit_or(F.expr("shiftleft(one, place)")).alias("bits")).toArrow()
+    out = np.zeros((1 << size) // 64, np.int64)
     if rows.num_rows:
         out[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def _texts(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """cls and text of the needed classes (rep: an id that has the class). A bitmap of bounded size spares most others the shuffle."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(needed, "rep"))
+    """cls and text, one for each needed class (rep: an id that has the class). A bitmap of bounded size spares most others the shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(needed, F.xxhash64("rep"), NEED_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
+        held, seen = bits.value, set()
         for b in batches:
-            h = b.column(0).to_numpy()
-            at = h & ((1 << NEED_BITS) - 1)
-            hit = (held[at >> 6] >> (h & 63).astype(_U)) & _U(1) != 0
-            part = b.filter(pa.array(hit))
+            part = b.filter(pa.array(_held(held, b.column(0).to_numpy(), NEED_BITS)))
             for s in tv.slices(part.column(1)):
-                cls = [class_id(x) if len(x) else None for x in tv.shingle_sets(s, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), part.column(1).slice(s.first, s.n)], ["cls", "text"])
+                at, cls = [], []
+                for i, x in enumerate(tv.shingle_sets(s, size), s.first):
+                    if len(x) and (c := class_id(x)) not in seen:
+                        seen.add(c)
+                        at.append(i)
+                        cls.append(c)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), part.column(1).take(pa.array(at, pa.int64()))], ["cls", "text"])
 
     found = docs.select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text")).mapInArrow(run, "cls bigint, text string")
-    return found.join(needed.select("cls").distinct(), "cls", "left_semi")
+    return found.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, top: int, whole: int) -> bool:
@@ -224,6 +267,31 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, top: int, whole: int)
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _sized(n: str, m: str, top: int, whole: int) -> Column:
+    return F.least(n, m) * whole >= F.greatest(n, m) * top
+
+
+def _allowed(pairs: DataFrame, known: DataFrame, top: int, whole: int) -> DataFrame:
+    """Those of the (a, b) whose sizes and bitmaps allow a link."""
+    side = lambda x, n, sig: known.select(F.col("cls").alias(x), F.col("n").alias(n), F.col("sig").alias(sig))
+    both = pairs.join(side("b", "m", "two"), "b").join(side("a", "n", "one"), "a").filter(_sized("n", "m", top, whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, one, m, two = (b.column(i).to_pylist() for i in range(2, 6))
+            ok = pa.array([may_link(*x, top, whole) for x in zip(n, one, m, two, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(2)], ["a", "b"])
+
+    return both.select("a", "b", "n", "one", "m", "two").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(base: DataFrame, pairs: DataFrame, known: DataFrame, name: str, size: int, top: int, whole: int) -> DataFrame:
+    """Those of the (a, b) that link, stored."""
+    pairs = stored(_allowed(pairs, known, top, whole), f"{name}-pairs")
+    needed = stored(known.select("cls", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "needed")
+    return stored(_verify(pairs, _texts(base, needed, size), size, top, whole), f"{name}-links")
+
+
 TILE = 2000
 
 
@@ -247,23 +315,56 @@ def _overlaps(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
     return out
 
 
+def _outside_first(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, component (numbered) and side of a rectangle's rows."""
+    _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    return table.column("cls").to_numpy(), root, table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _maybe(top: int, whole: int):
+    """The members of a rectangle that its bitmaps allow to link with a member of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, root, outside = _outside_first(table)
+        n, sig = table.column("n").to_numpy(), table.column("sig").to_pylist()
+        bits = np.array([len(x) * 8 for x in sig])
+        hit = np.zeros(len(cls), bool)
+        for to in np.unique(bits):
+            # Linked sets are of sizes 4 : 5 at most apart, so their bitmaps of one size or of neighbouring ones.
+            here = np.flatnonzero((bits >= to) & (bits <= to * (2 if top * 2 >= whole else 1 << 40)))
+            to = int(to)
+            words = np.frombuffer(b"".join(_folded(int.from_bytes(sig[i], "little"), int(bits[i]), to).to_bytes(to // 8, "little") for i in here), np.uint64).reshape(len(here), -1)
+            own = bits[here] == to
+            some = np.flatnonzero(outside[here])
+            step = max(1, (4 << 20) // max(1, words.size))
+            for c in range(0, len(some), step):
+                part = some[c : c + step]
+                differ = np.bitwise_count(words[part][:, None, :] ^ words[None]).sum(2, dtype=np.int64)
+                total = n[here][part][:, None] + n[here]
+                both = (total - differ) // 2
+                ok = (whole * both >= top * (total - both)) & (own[part][:, None] | own) & (root[here][part][:, None] != root[here]) & ~outside[here]
+                hit[here[part[ok.any(1)]]] = True
+                hit[here[ok.any(0)]] = True
+        return pa.table({"cls": pa.array(cls[hit], pa.int64())})
+
+    return run
+
+
 def _tile(size: int, top: int, whole: int):
-    """Links across components within one tile: enough of them to join what the tile's pairs join."""
+    """Links across components within one rectangle: enough of them to join what its pairs join."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
-        _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        cls, root, outside = _outside_first(table)
         sets = [x for s in tv.slices(table.column("text")) for x in tv.shingle_sets(s, size)]
         length = np.array([len(x) for x in sets])
         found: list[tuple[int, int]] = []
-        largest = np.bincount(root).argmax() if len(root) else 0
-        some = np.flatnonzero(root != largest)  # of each pair across components one is here
+        some = np.flatnonzero(outside)
         for part in np.array_split(some, len(some) // 500 + 1):
             if not len(part):
                 continue
             both = _overlaps(sets, part)
             ok = whole * both >= top * (length[part][:, None] + length - both)
-            ok &= (root[part][:, None] != root) & ((side[part][:, None] != side) | (side == 2))
+            ok &= (root[part][:, None] != root) & ~outside
             for i, j in zip(*np.nonzero(ok), strict=True):
                 i = part[i]
                 if root[i] != root[j]:
@@ -279,91 +380,76 @@ def similar_documents(docs: DataFrame, size: int = 5, top: int = 80, whole: int
     spark = docs.sparkSession
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    first = stored(base.mapInArrow(_sets_and_sketch(size), f"doc_id {kind}, n bigint, cls bigint, block int, counts binary"), "shingle-sets")
+    first = stored(base.mapInArrow(_sets_and_sketch(size), f"doc_id {kind}, n bigint, cls bigint, sig binary, block int, counts binary"), "shingle-sets")
     rows = first.filter("block is null").select("doc_id", "n", "cls")
     classes = spark.sparkContext.broadcast(frequency_class(sketch(first.filter("block is not null").select("block", "counts"))))
-    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-
-    entries = base.select("text").mapInArrow(_entries(size, top, whole, classes), "key bigint, cls bigint, n int, r int, single boolean, full boolean")
-    shared_keys = entries.groupBy("key").agg(F.min("cls").alias("l0"), F.max("cls").alias("l1")).filter("l0 != l1")
-    hot = stored(entries.join(shared_keys, "key").groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("r").alias("r"), F.first("single").alias("single"), F.first("full").alias("full")), "shared-keys")
-    # Of its n shingles a class shares at most c with one that has all its rare shingles in the index ("full").
-    bound = hot.groupBy("cls").agg(F.first("n").alias("n"), (F.first("n") - F.first("r") + F.sum(F.col("single").cast("int"))).alias("c"), F.first("full").alias("full"))
-    bound = stored(bound, "bounds")
-    members = hot.select("key", "cls").join(bound, "cls")
-
-    def can_link(n, c, full, m, d, other_full):
-        n, c, full, m, d, other_full = (F.col(x) if isinstance(x, str) else x for x in (n, c, full, m, d, other_full))
-        both = F.least(F.when(other_full, c).otherwise(n), F.when(full, d).otherwise(m), n, m)
-        return whole * both >= top * (n + m - both)
-
-    # Leaders of a key: the classes with the largest shared part, and two others.
-    share = F.col("c") / F.col("n")
-    any_ = F.struct("cls", "n", "c", "full")
-    central = lambda *extra: F.max(F.struct(share, *extra, any_.alias("x"))).getField("x")
-    leaders = members.groupBy("key").agg(F.array_distinct(F.array(central(), central(F.xxhash64("cls")), F.min(any_), F.max(any_))).alias("leaders"))
-    star = members.join(leaders, "key").select(F.col("cls").alias("p"), "n", "c", "full", F.explode("leaders").alias("x")).select("p", "n", "c", "full", F.col("x.cls").alias("q"), F.col("x.n").alias("m"), F.col("x.c").alias("d"), F.col("x.full").alias("g"))
-    star = star.filter((F.col("p") != F.col("q")) & can_link("n", "c", "full", "m", "d", "g"))
-    star = stored(star.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "leader-pairs")
-    links = stored(_verified(base, star, reps, size, top, whole), "links")
-    root = components(links)
-
-    # What is left: keys that still hold several components, of them the classes that some member could link with.
-    left = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    left = _open(left, lambda p, q: can_link(*(p(x) for x in ("n", "c", "full")), *(q(x) for x in ("n", "c", "full"))))
-    left = stored(left.select("key", "cls", "n", "c", "full", "root", "main", "members"), "open-keys")
+    known = stored(first.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+
+    entries = lambda some: base.select("text").mapInArrow(_entries(size, top, whole, classes, some), "key bigint, cls bigint, n int")
+    shared = entries(None).groupBy("key").agg(F.min("cls").alias("l0"), F.max("cls").alias("l1")).filter("l0 != l1").select("key", "l0")
+    shared = stored(shared, "shared-keys")
+    keys = spark.sparkContext.broadcast(_bitmap(shared, F.col("key"), KEY_BITS))
+    hot = stored(entries(keys).join(shared, "key"), "members")
+
+    # The least class that a class shares a key with is mostly the same for all of a group of copies.
+    star = hot.filter("cls != l0").groupBy("cls").agg(F.min("l0").alias("a")).select("a", F.col("cls").alias("b"))
+    star = stored(star, "leaders")
+    links = _verified(base, star, known, "leader", size, top, whole)
+
+    # What is left: keys that still hold several components.
+    rooted = hot.select("key", "cls", "n").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = stored(rooted, "rooted")
+    several = stored(rooted.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key", "members"), "open-keys")
+    left = stored(_in_bitmap(rooted, several).join(several, "key"), "open-members")
     small = left.filter(F.col("members") <= few)
-    x = small.select("key", F.col("cls").alias("a"), "n", "c", "full", F.col("root").alias("ra"))
-    y = small.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("full").alias("g"), F.col("root").alias("rb"))
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & can_link("n", "c", "full", "m", "d", "g")).select("a", "b").distinct()
-    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "rest-pairs")
-    more = _verified(base, pairs, reps, size, top, whole)
+    x = small.select("key", F.col("cls").alias("a"), "n", F.col("root").alias("ra"))
+    y = small.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized("n", "m", top, whole)).select("a", "b").distinct()
+    more = _verified(base, pairs.join(star, ["a", "b"], "left_anti"), known, "rest", size, top, whole)
 
-    tiles = _tiled(left.filter(F.col("members") > few), base, reps, size, top, whole)
+    tiles = _tiled(left.filter(F.col("members") > few), base, known, size, top, whole)
     found = links.unionByName(more) if tiles is None else links.unionByName(more).unionByName(tiles)
-    root = components(found)
-    placed = rows.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def _open(left: DataFrame, linkable) -> DataFrame:
-    """Rows (key, cls, n, c, full, root) of keys with several components, with ``members``; without those that no member of another component could link with.
-
-    A key's main component is that of most members. A member outside it stays if it could link with some size and shared
-    part that occurs in the key; one inside if it could with those of the members that stayed outside.
-    """
-    size = left.groupBy("key", "root").agg(F.count("*").alias("k"))
-    main = size.groupBy("key").agg(F.max(F.struct("k", "root")).getField("root").alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
-    here = left.select("key", "cls", "n", "c", "full", "root").join(main, "key")
-    profile = F.struct("n", "c", "full")
-    inside = F.col("root") == F.col("main")
-    could = lambda seen: F.exists(seen, lambda p: linkable(lambda x: F.col(x), lambda x: p[x]))
-    outside = here.filter(~inside).join(here.groupBy("key").agg(F.collect_set(profile).alias("seen")), "key").filter(could("seen")).drop("seen")
-    within = here.filter(inside).join(outside.groupBy("key").agg(F.collect_set(profile).alias("seen")), "key").filter(could("seen")).drop("seen")
-    kept = outside.unionByName(within)
-    again = kept.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key", "members")
-    return kept.join(again, "key")
+    # Nodes begin with the least id of their class, so that a component's root tells its least id.
+    node = known.select("cls", F.struct(F.col("rep").isNull().alias("unknown"), "rep", "cls").alias("node"))
+    named = found.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    root = components(named).select(F.col("node.cls").alias("cls"), F.col("root.rep").alias("least"))
+    placed = rows.filter("cls is not null").join(known.select("cls", "rep").join(root, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least")), "cls")
+    alone = rows.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")).unionByName(alone)
 
 
-def _needed(classes: DataFrame, reps: DataFrame) -> DataFrame:
-    return stored(reps.join(classes.distinct(), "cls", "left_semi"), "needed")
+def _in_bitmap(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be one of ``keys``, found without a shuffle."""
+    bits = members.sparkSession.sparkContext.broadcast(_bitmap(keys, F.col("key"), KEY_BITS))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_held(bits.value, b.column(0).to_numpy(), KEY_BITS)))
 
-def _verified(base: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, top: int, whole: int) -> DataFrame:
-    needed = _needed(pairs.select(F.explode(F.array("a", "b")).alias("cls")), reps)
-    return _verify(pairs, _texts(base, needed, size), size, top, whole)
+    members = members.select("key", "cls", "n", "root")
+    return members.mapInArrow(run, members.schema)
 
 
-def _tiled(large: DataFrame, base: DataFrame, reps: DataFrame, size: int, top: int, whole: int) -> DataFrame | None:
-    """Links found in square tiles of the large keys' members; None if there is no such key."""
+def _tiled(large: DataFrame, base: DataFrame, known: DataFrame, size: int, top: int, whole: int) -> DataFrame | None:
+    """Links found in rectangles of the large keys' members; None if there are none."""
     if large.limit(1).count() == 0:
         return None
     # Keys of one main component hold much the same members: each is taken once for all of them.
-    once = stored(large.select("main", "cls", "root").distinct(), "large-members")
-    sized = once.join(once.groupBy("main").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts")), "main")
-    cell = sized.withColumn("i", F.pmod(F.xxhash64("cls", "main"), F.col("cuts")).cast("int"))
-    cell = cell.select("main", "cls", "root", "i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"))
-    tile = cell.select("main", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "cls", "root", F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
-    texts = _texts(base, _needed(large.select("cls"), reps), size)
-    return tile.join(texts, "cls").groupBy("main", "p", "q").applyInArrow(_tile(size, top, whole), "a bigint, b bigint")
+    main = large.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).getField("root").alias("main"))
+    once = stored(large.join(main, "key").select("main", "cls", "root").distinct(), "large-members")
+    maybe = stored(_rectangles(once, known.select("cls", "n", "sig")).applyInArrow(_maybe(top, whole), "cls bigint").distinct(), "large-maybe")
+    needed = stored(known.select("cls", "rep").join(maybe, "cls", "left_semi"), "needed")
+    return stored(_rectangles(once.join(maybe, "cls", "left_semi"), _texts(base, needed, size)).applyInArrow(_tile(size, top, whole), "a bigint, b bigint"), "large-links")
+
+
+def _rectangles(once: DataFrame, more: DataFrame):
+    """Groups (main, i, j): the i-th part of a main component's rows against the j-th of those outside it (outside is true)."""
+    away = F.col("root") != F.col("main")
+    cuts = once.groupBy("main").agg(F.ceil(F.count("*") / TILE).cast("int").alias("all"), F.ceil(F.sum(away.cast("int")) / TILE).cast("int").alias("out"))
+    sized = once.join(cuts, "main")
+    h = F.xxhash64("cls", "main")
+    part = lambda n: F.pmod(h, F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = sized.select("main", part("all").alias("i"), each("out").alias("j"), "cls", "root", F.lit(False).alias("outside"))
+    outer = sized.filter(away).select("main", each("all").alias("i"), part("out").alias("j"), "cls", "root", F.lit(True).alias("outside"))
+    return inner.filter("j >= 0").unionByName(outer).join(more, "cls").groupBy("main", "i", "j")

@@ -348,6 +348,27 @@ def test_jaccard_links_four_shingles_with_five(spark):
     assert got == brute_components(rows) and got[2] == (5, 1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**31))
+def test_bitmaps_allow_every_link(n, more, less, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    y = np.unique(np.concatenate([rng.permutation(x)[: max(1, len(x) - less)], rng.integers(0, 2**63, more, dtype=np.uint64)]))
+    both = len(np.intersect1d(x, y))
+    if 100 * both >= 80 * (len(x) + len(y) - both):
+        assert jaccard.may_link(len(x), jaccard.parity(x), len(y), jaccard.parity(y), 80, 100)
+    z = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    assert not jaccard.may_link(300, jaccard.parity(z), 300, jaccard.parity(rng.integers(0, 2**63, 300, dtype=np.uint64)), 80, 100)
+
+
+def test_jaccard_rows_under_one_id(spark):
+    """Equal ids, null ids and copies: rows are told apart by their texts, and each text is sent once."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base))] * 200 + [(2, " ".join(base[:59] + ["x"]))] * 200 + [(None, " ".join(base[1:])), (None, "a b c d e f g"), (7, "a b c d e f g"), (7, "q r s t u v"), (None, "n o one two three")]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 56, 1): 200, (2, 56, 1): 200, (None, 55, 1): 1, (None, 3, 7): 1, (7, 3, 7): 1, (7, 2, 7): 1, (None, 1, None): 1}
+
+
 def test_jaccard_odd_rows(spark, edge):
     got = jaccard.similar_documents(edge).collect()
     assert len(got) == len(EDGE) and {r.component_id for r in got if r.n_shingles == 1} == {4}
