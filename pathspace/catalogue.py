@@ -393,7 +393,8 @@ def _structure_sql(ident: str, table: str) -> str:
 
 @_query(f"select id doc_id, k - 1 dim, round(vec[k], 2) score from ({_structure_sql('doc_id', 'documents')}), range(1, 8) r(k)")
 def structure_vectors(spark, d):
-    return structure.with_structure(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode("vec").alias("dim", "score")).withColumn("dim", F.col("dim").cast("bigint")).withColumn("score", F.round("score", 2))
+    # The outer form: an inner explode has Spark filter by the array's size first, for which it works the scores out again.
+    return structure.with_structure(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode_outer("vec").alias("dim", "score")).withColumn("dim", F.col("dim").cast("bigint")).withColumn("score", F.round("score", 2))
 
 
 def _re2(p: str) -> str:
@@ -443,14 +444,14 @@ def classify_fact(spark, d):
     """A model's reply where it can be read, else the keywords."""
     reply = F.when(F.col("turn") % 3 == 0, "<think>[1,2]\nno</think>Here: [0.25, 1.5, 0.0, 0.5, 0.123, 0, 1]").when(F.col("turn") % 3 == 1, "[0.1, 0.2]")
     rows = structure.classify_facts(_t(spark, d, "conversations").withColumn("reply", reply), reply="reply")
-    return rows.select("conv_id", "turn", F.posexplode("vec").alias("dim", "score")).select("conv_id", "turn", F.col("dim").cast("bigint").alias("dim"), F.round("score", 2).alias("score"))
+    return rows.select("conv_id", "turn", F.posexplode_outer("vec").alias("dim", "score")).select("conv_id", "turn", F.col("dim").cast("bigint").alias("dim"), F.round("score", 2).alias("score"))
 
 
 @_query(f"select doc_id, k - 1 dim, (array{structure.DIMENSIONS})[k] dimension, round(vec[k], 2) score from (select id doc_id, vec from ({_structure_sql('doc_id', 'documents')})), range(1, 8) r(k) where doc_id % 100 = 0")
 def named_dimensions(spark, d):
     rows = structure.with_structure(_t(spark, d, "documents").filter("doc_id % 100 = 0").select("doc_id", "text"))
     names = {n: i for i, n in enumerate(structure.DIMENSIONS)}
-    out = rows.select("doc_id", F.explode(structure.named(F.col("vec"))).alias("dimension", "score"))
+    out = rows.select("doc_id", F.explode_outer(structure.named(F.col("vec"))).alias("dimension", "score"))
     place = F.coalesce(*[F.when(F.col("dimension") == n, F.lit(i)) for n, i in names.items()])
     return out.select("doc_id", place.cast("bigint").alias("dim"), "dimension", F.round("score", 2).alias("score"))
 
@@ -469,7 +470,7 @@ ids as (select distinct conv_id from conversations), descr as (select i.conv_id,
 
 @_query(DELTA + " select conv_id query_id, dim, round(c, 6) c from descr")
 def shape_descriptor(spark, d):
-    out = _steps(spark, d).select("query_id", F.posexplode(shape.descriptor(F.col("steps"))).alias("dim", "c"))
+    out = _steps(spark, d).select("query_id", F.posexplode_outer(shape.descriptor(F.col("steps"))).alias("dim", "c"))
     return out.select("query_id", F.col("dim").cast("bigint").alias("dim"), (F.round("c", 6) + 0.0).alias("c"))
 
 

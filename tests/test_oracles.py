@@ -8,7 +8,7 @@ import pytest
 from pathspace.catalogue import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.01")
-FAST = ["batch_cosine_topk", "knn_graph", "symmetric_edges", "normalized_adjacency", "nystrom_project", "geodesic_path", "structure_vectors", "classify_query", "shape_descriptor", "fast_match", "pool_merge", "blended_rank", "weight_sweep", "path_completeness", "macro_avg", "text_key_lookup", "numbered_facts"]
+FAST = ["batch_cosine_topk", "knn_graph", "symmetric_edges", "normalized_adjacency", "nystrom_project", "geodesic_path", "structure_vectors", "classify_query", "shape_descriptor", "fast_match", "pool_merge", "blended_rank", "weight_sweep", "path_completeness", "macro_avg", "text_key_lookup", "numbered_facts", "geodesic_retrieve_explicit", "retrieve_tangents", "cooccurrence_boost", "classify_fact", "dtw_match", "dtw_alignment", "remaining_steps_open_end", "evaluate_cases", "comparison_selected", "weight_sweep_metrics", "request_checks", "smart_search_fallback"]
 
 
 def plain(df):
