@@ -209,6 +209,16 @@ def diffusion_map_spectrum(spark, d):
     return m.limit(1).select(F.posexplode("eigenvalues").alias("k", "eigenvalue")).withColumn("eigenvalue", F.round("eigenvalue", 6))
 
 
+@_query(DEG + ", r as (select count(distinct src) n from edges) select k::int as k, 0.0::double residual, 1.0::double length from range(12) t(k), r where n > 12")
+def diffusion_map_residuals(spark, d):
+    """How far each eigenvector is from its equation (largest entry) and its length, both from the coordinates after one step."""
+    edges = _edges(spark, d)
+    m = paths.saved(spectral.diffusion_map(edges, steps=1), "manifold").join(graph.degrees(edges), "fact_idx")
+    x = m.select("fact_idx", F.posexplode(F.zip_with("coords", "eigenvalues", lambda c, e: c * F.sqrt("degree") / e)).alias("k", "x"), "eigenvalues").withColumn("e", F.get("eigenvalues", F.col("k"))).drop("eigenvalues")
+    moved = graph.normalized(edges).join(x.select(F.col("fact_idx").alias("dst"), "k", F.col("x").alias("y")), "dst").groupBy(F.col("src").alias("fact_idx"), "k").agg(F.sum(F.col("p") * F.col("y")).alias("px"))
+    return x.join(moved, ["fact_idx", "k"]).groupBy("k").agg((F.round(F.max(F.abs(F.col("px") - F.col("e") * F.col("x"))), 6) + 0.0).alias("residual"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("length"))
+
+
 @_query()
 def manifold_pairwise(spark, d):
     """Distances in the manifold between neighbours on the graph."""
@@ -573,6 +583,15 @@ def pool_stats(spark, d):
     return blend.pool_stats(_pool(spark, d))
 
 
+@_query(POOL + f", r as (select *, row_number() over (partition by query_id order by round({_SCORE}, 12) desc, place) k from pool) select query_id, least(count(*), 10)::int results, any_value(text_key) filter (k = 1) as best, count(*) total, count(*) - count(*) filter (on_manifold) as projected from r group by query_id")
+def search_responses(spark, d):
+    """The JSON answers, read back."""
+    body = manifold.responses(_pool(spark, d))
+    at = lambda path: F.get_json_object("body", path)
+    best = F.regexp_replace(F.lower(F.substring(at("$.results[0].text"), 1, 200)), r"^\s+|\s+$", "")
+    return body.select("query_id", F.size(F.from_json(at("$.results"), "array<struct<rank: int>>")).alias("results"), best.alias("best"), at("$.stats.total").cast("bigint").alias("total"), at("$.stats.nystrom_projected").cast("bigint").alias("projected"))
+
+
 # The four weightings of the sweep.
 CONFIGS = [("semantic-heavy", 0.7, 0.2, 0.1), ("default", 0.5, 0.35, 0.15), ("geodesic-heavy", 0.3, 0.5, 0.2), ("geodesic-dominant", 0.2, 0.6, 0.2)]
 
@@ -705,6 +724,12 @@ def facts_first_dedupe(spark, d):
     return tables.first_by_id(hits)
 
 
+@_query("select source fact_id, text from (select *, length(text) % 5 q from documents qualify row_number() over (partition by q order by doc_id) <= 100) qualify row_number() over (partition by source order by q, doc_id) = 1")
+def facts_of_limited_searches(spark, d):
+    hits = _t(spark, d, "documents").select((F.length("text") % 5).alias("query_no"), F.col("doc_id").alias("position"), F.col("source").alias("fact_id"), "text")
+    return tables.first_by_id(tables.first_hits(hits, 500))
+
+
 @_query("select regexp_replace(lower(substr(text, 1, 200)), '^\\s+|\\s+$', '', 'g') text_key, max(doc_id) fact_idx from documents group by 1 having text_key <> ''")
 def text_key_lookup(spark, d):
     return tables.text_lookup(_facts(spark, d))

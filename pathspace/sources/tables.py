@@ -31,6 +31,16 @@ def first_by_id(hits: DataFrame) -> DataFrame:
     return hits.groupBy("fact_id").agg(F.min_by("text", F.struct("query_no", "position")).alias("text"))
 
 
+#: Fixed value: no search gives more hits than this.
+MOST_HITS = 100
+
+
+def first_hits(hits: DataFrame, top_k: int) -> DataFrame:
+    """Of each search (query_no) the first ``top_k`` hits by position, 100 at most."""
+    w = Window.partitionBy("query_no").orderBy("position")
+    return hits.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= min(top_k, MOST_HITS)).drop("__n")
+
+
 def numbered(facts: DataFrame, *order: str) -> DataFrame:
     """Adds fact_idx from 0 in the declared order: each range-partition counts its rows, so no single task sorts all.
 
