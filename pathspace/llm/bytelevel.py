@@ -50,7 +50,7 @@ class _Pieces(dict):
 class ByteLevel:
     """One vocabulary file of the tokenizers library with byte-level pre-tokens."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         import tiktoken
         from tokenizers import Tokenizer
 
