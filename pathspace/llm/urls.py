@@ -1,23 +1,28 @@
 """URL filters: rules on hosts and paths, else naive Bayes on segmented names.
 
-Hosts hold words run together. A unigram model of the words that pages' texts and
-url paths use (``vocabulary`` most frequent, a fixed bound, and the
-seed words) splits each name by Viterbi. Multinomial naive Bayes then scores the
-words of host and path. Its spam class learns from pages at least half of whose
-host words are seed words, the other class from all other pages; counts cover all pages,
-and the table that is broadcast holds the ``vocabulary`` most frequent words, further ones
-share one entry. A rule that fits decides instead of the score.
+Hosts hold words run together. A unigram model of the words of the pages' visible texts and
+url paths, and of the seed words, splits each run of letters by Viterbi: once for each distinct run, whole,
+with all words up to ``longest`` letters. The ``frequent`` most frequent are broadcast; which others a
+run holds is found by a join on its substrings, so no word is left out.
+
+Multinomial naive Bayes then scores the words of host and path. It learns from the pages that a
+rule decides (their verdicts are its labels), without the words that the rules
+themselves name; seed words are a prior of the class block. Counts cover all such pages and all words, and meet
+the pages' words by a join. A rule that fits decides instead of the score.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule,
-and the verdict of the prior; repeated rows are judged each for itself; an empty table
-gives no rows.
+and the verdict of the prior; urls of any length are taken whole; a page without html counts by its url alone;
+equal probabilities go to the split with the longer last word, log-odds of 0 to allow; repeated rows and
+equal or null ids are judged each for itself; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +39,8 @@ prizes profit promo replica rich sale sex sexy slot slots spam spins sweepstakes
 viagra warez weightloss win winner winning xxx""".split()
 PLAIN_WORDS = """about archive blog com data de doc docs edu en es example fr gov help home html img info
 it mail main media mobile net news org page pages press shop site static store support web wiki www""".split()
-SEED_COUNT = 1000
+#: How often each seed word counts as seen in texts, and in blocked urls.
+SEED_COUNT, SEED_WEIGHT = 1000, 1
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,7 +64,7 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
     return (null, null) if rule is None else (rule, verdict)
 
 
-def segment(name: str, log_p: dict[str, float], unknown: float, longest: int = 24) -> list[str]:
+def segment(name: str, log_p: Mapping[str, float], unknown: float, longest: int = 24) -> list[str]:
     """The most probable split of ``name`` into words (Viterbi); an unknown word of n letters costs a tenth for each letter. Ties go to the longer last word."""
     n = len(name)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
@@ -75,103 +81,104 @@ def segment(name: str, log_p: dict[str, float], unknown: float, longest: int = 2
     return out[::-1]
 
 
-_RUN = re.compile(r"[^\W\d_]+|\d+")
-
-
-def tokens_of(host: str, path: str, log_p: dict[str, float], unknown: float, cache: dict[str, tuple]) -> tuple[list[str], list[str]]:
-    """Words of host and path; digits become one token."""
-
-    def parts(text: str) -> list[str]:
-        out: list[str] = []
-        for run in _RUN.findall(text.lower()):
-            if run[0].isdigit():
-                out.append("<number>")
-                continue
-            got = cache.get(run)
-            if got is None:
-                got = tuple(w for a in range(0, len(run), 200) for w in segment(run[a : a + 200], log_p, unknown))
-                if len(cache) < 100_000:
-                    cache[run] = got
-            out += got
-        return out
-
-    return parts(host), parts(path)
+_RUN = r"\\p{L}+|\\p{Nd}+"
+NUMBER = "<number>"
 
 
-def _counts(words: Column, df: DataFrame, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` words with their counts, the most frequent."""
-    counted = stored(df.select(F.explode(words).alias("word")).filter(F.length("word").between(1, 24)).groupBy("word").agg(F.count("*").alias("n")), "url-words")
-    return [(r[0], r[1]) for r in counted.filter(F.col("n") >= at_most(counted, "n", most)).collect()]
+def _sql_runs(name: str) -> str:
+    return f"regexp_extract_all(lower({name}), '{_RUN}', 0)"
 
 
-def unigrams(pages: DataFrame, most: int) -> tuple[dict[str, float], float]:
-    """log p of words and of an unknown one: from the pages' visible text, the urls' paths, and the seed words."""
+def counted_words(pages: DataFrame, longest: int) -> DataFrame:
+    """word, n of the pages' visible texts, the urls' paths, and the seed words."""
     # Hosts are left out: a name that runs words together mustn't become a word.
     _, path = host_and_path(F.col("url").cast("string"))
-    seen = F.concat_ws(" ", F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"<[^>]*>", " "), path)
-    low = pages.select(F.lower(seen).alias("seen"))
-    counts = dict(_counts(F.split("seen", r"[^\p{L}]+"), low, most))
-    for w in SPAM_WORDS + PLAIN_WORDS:
-        counts[w] = counts.get(w, 0) + SEED_COUNT
-    total = sum(counts.values())
-    return {w: math.log(n / total) for w, n in counts.items()}, math.log(1 / total)
-
-
-def _token_rows(log_p, unknown):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, none = log_p.value, unknown
-        cache: dict[str, tuple] = {}
-        seed = set(SPAM_WORDS)
+    visible = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ") if "html" in pages.columns else F.lit("")
+    low = pages.select(F.lower(F.concat_ws(" ", visible, path)).alias("seen"))
+    seen = low.select(F.explode(F.split("seen", r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, longest)).groupBy("word").agg(F.count("*").alias("n"))
+    seeds = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in SPAM_WORDS + PLAIN_WORDS], "word string, n bigint")
+    return seen.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def segmented(runs: DataFrame, counts: DataFrame, frequent: int, longest: int) -> DataFrame:
+    """run, words for distinct runs of letters; counts: word, n (stored)."""
+    spark = runs.sparkSession
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    least = at_most(counts, "n", frequent)
+    common = spark.sparkContext.broadcast({r[0]: math.log(r[1] / total) for r in counts.filter(F.col("n") >= least).collect()})
+    unknown = math.log(1 / total)
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
         for b in batches:
-            host, path, spam = [], [], []
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                x, y = tokens_of(h, p, words, none, cache)
-                name = [w for w in x if w not in PLAIN_WORDS and w != "<number>"]
-                host.append(x)
-                path.append(y)
-                spam.append(2 * sum(w in seed for w in name) >= len(name) > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(host, pa.list_(pa.string())), pa.array(path, pa.list_(pa.string())), pa.array(spam, pa.bool_())], [*b.schema.names, "host_words", "path_words", "seeded"])
-
-    return run
-
-
-def train(tokens: DataFrame, most: int, alpha: float = 0.5) -> dict[str, float]:
-    """Log-odds spam against other of each word; "" for a word not kept, and "<prior>"."""
-    words = F.concat("host_words", "path_words")
-    n = {bool(r[0]): r[1] for r in tokens.groupBy("seeded").count().collect()}
-    per = tokens.select("seeded", F.explode(words).alias("word")).groupBy("word").agg(F.sum(F.col("seeded").cast("int")).alias("y1"), F.sum((~F.col("seeded")).cast("int")).alias("y0"))
-    per = stored(per.withColumn("n", F.col("y1") + F.col("y0")), "url-tokens")
-    totals = per.agg(F.sum("y1"), F.sum("y0")).first()
-    t1, t0 = (x or 0 for x in totals)
-    kept = per.filter(F.col("n") >= at_most(per, "n", most)).select("word", "y1", "y0").collect()
-    size = len(kept) + 1 + len(SPAM_WORDS)
-    odds = lambda a, b: math.log((a + alpha) / (t1 + alpha * size)) - math.log((b + alpha) / (t0 + alpha * size))
-    out = {w: odds(50, 0) for w in SPAM_WORDS} if not t1 else {w: odds(1, 0) for w in SPAM_WORDS}
-    out |= {r[0]: odds(r[1], r[2]) for r in kept}
-    out[""] = odds(0, 0)
-    out["<prior>"] = math.log((n.get(True, 0) + 1) / (n.get(False, 0) + 1))
-    return out
-
-
-def judge(pages: DataFrame, rules: dict[str, str], vocabulary: int = 50_000) -> DataFrame:
-    """page_id, host, path, rule, verdict, the words found, and the log-odds of every page."""
-    spark = pages.sparkSession
+            for run in b.column(0).to_pylist():
+                words = sorted({run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + longest) + 1)} - known.keys())
+                for k in range(0, len(words), 100_000):
+                    part = words[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(part), pa.string()), pa.array(part, pa.string())], ["run", "word"])
+
+    held = runs.mapInArrow(substrings, "run string, word string").join(counts.filter(F.col("n") < least), "word")
+    held = held.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("more"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
+        for b in batches:
+            words = []
+            for run, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = {w: math.log(n / total) for w, n in more or []}
+                words.append(segment(run, ChainMap(own, known) if own else known, unknown, longest))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
+
+    return runs.join(held, "run", "left").mapInArrow(split, "run string, words array<string>")
+
+
+def train(words: DataFrame, rules: dict[str, str], alpha: float = 0.5) -> tuple[DataFrame, float, float]:
+    """word, odds (log-odds block against allow) of every word of the labelled pages (word, label: 1 for block) and of the seed words; the odds of any other word; and the prior's.
+
+    A page without words has a row with a null word.
+    """
+    named = {w for rule in rules for w in re.findall(r"[^\W\d_]+|\d+", rule.lower())}
+    pages = {r[0]: r[1] for r in words.groupBy("label").agg(F.count_distinct("rid")).collect()}
+    seen = words.filter(F.col("word").isNotNull() & ~F.col("word").isin([*named, ""])).groupBy("word").agg(F.sum("label").alias("y1"), F.sum(1 - F.col("label")).alias("y0"))
+    seeds = words.sparkSession.createDataFrame([(w, SEED_WEIGHT, 0) for w in SPAM_WORDS], "word string, y1 bigint, y0 bigint")
+    per = stored(seen.unionByName(seeds).groupBy("word").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "url-words")
+    t1, t0, size = per.agg(F.sum("y1"), F.sum("y0"), F.count("*")).first()
+    odds = lambda a, b: F.log((a + alpha) / (t1 + alpha * (size + 1))) - F.log((b + alpha) / (t0 + alpha * (size + 1)))
+    other = math.log((t0 + alpha * (size + 1)) / (t1 + alpha * (size + 1)))
+    ignored = words.sparkSession.createDataFrame([(w, 0.0) for w in sorted(named)], "word string, odds double")
+    table = per.filter(~F.col("word").isin([*named, ""])).select("word", odds(F.col("y1"), F.col("y0")).alias("odds")).unionByName(ignored)
+    return table, other, math.log((pages.get(1, 0) + 1) / (pages.get(0, 0) + 1))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], frequent: int = 50_000, longest: int = 24, folds: int | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, the words found, the log-odds of every page, and whether it was held out (with ``folds``, ids whose crc32 is a multiple of it aren't learnt from)."""
     host, path = host_and_path(F.col("url").cast("string"))
-    log_p, unknown = unigrams(pages, vocabulary)
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
-    kind = base.schema["page_id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(log_p)
-    schema = f"page_id {kind}, host string, path string, host_words array<string>, path_words array<string>, seeded boolean"
-    tokens = base.mapInArrow(_token_rows(shared, unknown), schema)
-    odds = spark.sparkContext.broadcast(train(tokens, vocabulary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = odds.value
-        other, prior = table[""], table["<prior>"]
-        for b in batches:
-            x = [prior + sum(table.get(w, other) for w in h) + sum(table.get(w, other) for w in p) for h, p in zip(b.column("host_words").to_pylist(), b.column("path_words").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), b.column("host_words"), pa.array(x, pa.float64())], ["page_id", "host", "path", "host_words", "log_odds"])
-
-    scored = tokens.mapInArrow(run, f"page_id {kind}, host string, path string, host_words array<string>, log_odds double")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "log_odds")
+    held = F.lit(False) if folds is None else F.coalesce(F.crc32(F.col("page_id").cast("string")) % folds == 0, F.lit(False))
+    base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), held.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+    base = stored(base, "urls")
+    counts = stored(counted_words(pages, longest), "url-counts")
+
+    runs = base.selectExpr("rid", f"{_sql_runs('host')} as h", f"{_sql_runs('path')} as p")
+    runs = runs.selectExpr("rid", "size(h) as n", "posexplode(concat(h, p)) as (pos, run)").withColumn("digits", F.col("run").rlike(r"^\p{Nd}"))
+    split = stored(segmented(runs.filter("not digits").select("run").distinct(), counts, frequent, longest), "url-runs")
+    found = runs.filter("not digits").join(split, "run").select("rid", "n", "pos", "words").unionByName(runs.filter("digits").select("rid", "n", "pos", F.array(F.lit(NUMBER)).alias("words")))
+    found = stored(found, "url-parts")
+
+    each = found.select("rid", F.explode("words").alias("word"))
+    labelled = base.filter(F.col("ruled").isNotNull() & ~F.col("held_out")).select("rid", (F.col("ruled") == "block").cast("int").alias("label"))
+    table, other, prior = train(labelled.join(each, "rid", "left"), rules)
+    scores = each.join(table, "word", "left").groupBy("rid").agg(F.sum(F.coalesce("odds", F.lit(other))).alias("score"))
+    in_host = F.filter("w", lambda x: x["pos"] < x["n"])
+    words = found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "words"))).alias("w")).select("rid", F.flatten(F.transform(in_host, lambda x: x["words"])).alias("host_words"))
+    out = base.join(scores, "rid", "left").join(words, "rid", "left").withColumn("log_odds", F.lit(prior) + F.coalesce("score", F.lit(0.0)))
+    guess = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", guess).alias("verdict"), F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"), "log_odds", "held_out", guess.alias("guess"))
+
+
+def agreement(pages: DataFrame, rules: dict[str, str], folds: int = 5) -> DataFrame:
+    """pages, agreed (share of them where the score alone says what the rule says), larger (share of the more frequent verdict), over the held-out pages that a rule decides."""
+    out = judge(pages, rules, folds=folds).filter("held_out and rule is not null")
+    block = F.avg((F.col("verdict") == "block").cast("int"))
+    return out.agg(F.count("*").alias("pages"), F.avg((F.col("guess") == F.col("verdict")).cast("int")).alias("agreed"), F.greatest(block, 1 - block).alias("larger"))
