@@ -3,9 +3,10 @@
 Each document's pre-token frequencies are joined to piece counts that are made
 once per distinct pre-token. The most frequent pre-tokens (``frequent`` at most,
 none longer than 64 bytes, so their table has a fixed bound) are counted once
-and broadcast; the rest, none of which is a hot key, meet by a shuffle on the
-pre-token, where each distinct one is counted once, and their sums return to the
-documents by a second, partially aggregated one.
+and broadcast; the rest meet by a shuffle on the pre-token, where each distinct one is counted once
+a task, and their sums return to the documents by a second, partially aggregated one. Of the
+rest those up to 64 bytes are no hot keys, as they aren't frequent; longer ones may be, so
+their documents are dealt to all tasks.
 
 Defined results: a null or empty text has no tokens; every row is counted for
 itself, also when ids repeat or are null; empty tables give no rows; other columns
@@ -184,6 +185,9 @@ def count_tokens(docs: DataFrame, path: str, frequent: int = 200_000) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["rid", "doc_id", "n_bytes", "n"])
 
     rows = base.mapInArrow(spread, f"rid bigint, doc_id {kind}, n_bytes bigint, pretoken string, n bigint")
-    met = rows.repartition(F.coalesce(F.xxhash64("pretoken") * F.when(F.col("pretoken").isNotNull(), 1), F.xxhash64("rid")))
+    # Rows with the documents' own sums go by row; long pre-tokens, of which any may be hot (dividers, data), by row as well, over as many tasks as there are.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_row = F.when(F.octet_length("pretoken") > LONGEST_SHARED, F.pmod(F.xxhash64("rid"), F.lit(tasks))).otherwise(0)
+    met = rows.repartition(F.when(F.col("pretoken").isNull(), F.xxhash64("rid")).otherwise(F.xxhash64("pretoken", by_row)))
     sums = met.mapInArrow(count, f"rid bigint, doc_id {kind}, n_bytes bigint, n bigint")
     return sums.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("rid")
