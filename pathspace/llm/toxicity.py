@@ -257,6 +257,11 @@ def _weigh(model: Model, rows: DataFrame, prior: float, least: int, least_delta:
     return True
 
 
+def bent(evidence: np.ndarray) -> np.ndarray:
+    """Evidence as the logistic curve takes it: growing without end, but ever slower beyond 20, so that no text ties with a stronger one and few strong ones don't decide the slope."""
+    return 20 * np.log1p(evidence / 20)
+
+
 def _calibrate(model: Model, rows: DataFrame) -> None:
     """Extreme-value size from the non-toxic documents, then the logistic curve: from each training document's label, tokens and best segment."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -278,7 +283,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     # Maximum likelihood of K where a background text's best score has the distribution exp(-K n exp(-rate * s)).
     model.size = float(max(none.sum(), 1) / max((length[none] * np.exp(-model.rate * score[none])).sum(), 1e-9))
     evidence = np.array([log_evidence(s, int(n), model) if s > 0 else 0.0 for s, n in zip(score, length, strict=True)])
-    x = np.stack([np.ones(len(evidence)), np.minimum(evidence, 20)], 1)
+    x = np.stack([np.ones(len(evidence)), bent(evidence)], 1)
     w = np.zeros(2)
     for _ in range(50):  # Newton's method with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -306,7 +311,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], level: float = 0.05, t
                         if math.exp(-e) <= level:
                             found[i].append({"start": a, "end": z, "score": x, "p_value": math.exp(-e)})
                 out = [b.column(c).slice(s.first, s.n) for c in keep]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(m.probability(np.minimum(evidence, 20))), pa.array(found, passage)], [*keep, "score", "passages"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(m.probability(bent(evidence))), pa.array(found, passage)], [*keep, "score", "passages"])
 
     kept = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
     return base.mapInArrow(run, f"{kept}, score double, passages array<struct<start: bigint, end: bigint, score: double, p_value: double>>")
