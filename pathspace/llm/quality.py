@@ -30,15 +30,17 @@ auf das dem den der des die ein eine es ich im ist mit nicht sich sie und von zu
 con de del el en es la las lo los no para por que se su una y""".split()
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LETTER = _UPPER.copy()
-_LETTER[97:123] = True
-_LETTER[0x80:] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xF5] = True
+# First bytes of code points beyond the Latin script.
+_BEYOND = np.zeros(256, bool)
+_BEYOND[0xCD:0xF5] = True
+# First byte, and first and last second byte, of the Latin-1, Greek and Cyrillic capitals.
+_CAPITALS = [(0xC3, 0x80, 0x9E), (0xCE, 0x91, 0xA9), (0xD0, 0x80, 0xAF)]
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"!?")] = True
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_stop", "n_stutter"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_stop", "n_stutter", "n_beyond"]
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -46,6 +48,14 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.sort(np.unique(tv.Words(s, lower=True).hash))
 
 
+def capitals(data: np.ndarray) -> np.ndarray:
+    """True at the first byte of each capital letter."""
+    out = (data >= 65) & (data <= 90)
+    for first, low, high in _CAPITALS:
+        out[:-1] |= (data[:-1] == first) & (data[1:] >= low) & (data[1:] <= high)
+    return out
+
+
 def features(col: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
     """Counts of each text, by slices: first row, number of rows, a column for each of FEATURES."""
     stop = _hashes([x + mark for x in STOP_WORDS for mark in ("", ".", ",")])
@@ -63,8 +73,9 @@ def features(col: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
             return total[w.first[1:]] - total[w.first[:-1]]
 
         out["word_chars"] = per_row(w.inside & tv.code_points(s.data))
-        for name, table in (("n_symbols", _SYMBOLS), ("n_upper", _UPPER), ("n_letters", _LETTER), ("n_marks", _MARKS)):
+        for name, table in (("n_symbols", _SYMBOLS), ("n_letters", _LETTER), ("n_marks", _MARKS), ("n_beyond", _BEYOND)):
             out[name] = per_row(table[s.data])
+        out["n_upper"] = per_row(capitals(s.data))
         a, b = tv.spans(s.data != 10, s.off)  # lines; empty ones have no word
         words_before = np.searchsorted(w.starts, a), np.searchsorted(w.starts, b)
         with_word = words_before[1] > words_before[0]
@@ -116,14 +127,16 @@ def rules() -> dict[str, Column]:
     """Votes: 1 good, -1 bad, 0 abstains. Thresholds are shares of words, letters or lines of the text.
 
     Lack of one kind of junk says little, so most rules abstain there; the two on
-    function words and word lengths also vote good.
+    function words and word lengths also vote good. A lack of function words, or an odd word length, says nothing
+    about texts of which over a fifth of the letters are beyond the Latin script, whose function words aren't listed.
     """
     words = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c, of=words: F.col(c) / of
     letters = F.greatest(F.col("n_letters"), F.lit(1))
     lines = F.greatest(F.col("n_lines"), F.lit(1))
     length = F.col("word_chars") / words
-    long_enough = F.col("n_words") >= 20
+    latin = 5 * F.col("n_beyond") <= F.col("n_letters")
+    long_enough = (F.col("n_words") >= 20) & latin
     return {
         "symbols": _vote(share("n_symbols") > 0.2),
         "upper": _vote(share("n_upper", letters) > 0.4),
@@ -132,7 +145,7 @@ def rules() -> dict[str, Column]:
         "repeats": _vote(share("n_repeat_words") > 0.4),
         "stutter": _vote(share("n_stutter") > 0.3),
         "stop_words": _vote(long_enough & (share("n_stop") < 0.06), share("n_stop") >= 0.12),
-        "word_length": _vote((length < 2.5) | (length > 9.0), length.between(3.5, 6.5)),
+        "word_length": _vote(latin & ((length < 2.5) | (length > 9.0)), length.between(3.5, 6.5)),
     }
 
 
