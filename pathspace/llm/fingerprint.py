@@ -138,9 +138,8 @@ def with_next(docs: DataFrame, rows_a_part: int = 2_000) -> DataFrame:
     n = base.count()
     parts = max(1, min(20_000, n // rows_a_part))
     bounds = sorted({int(x) for x in base.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []}) if parts > 1 else []
-    table = F.array(*[F.lit(x).cast("bigint") for x in bounds]) if bounds else F.array().cast("array<bigint>")
     # Nulls come first, in part 0; the number of bounds below an id is its part.
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(table, len(bounds))) if bounds else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(bounds)) if bounds else F.lit(0)
     placed = base.withColumn("part", part.cast("int"))
     firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"), F.count("*").alias("n")).orderBy("part").collect()
     # The first id of each part is copied into the part before it (of the first, into the last); at most as many as there are parts.
@@ -155,9 +154,16 @@ def with_next(docs: DataFrame, rows_a_part: int = 2_000) -> DataFrame:
     return out.repartition(max(1, min(parts, 20_000)), "part").sortWithinPartitions("part", "copy", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
 
-def _below(table: Column, n: int) -> Column:
-    """How many of the sorted bounds are at most doc_id."""
-    return F.size(F.filter(table, lambda x: x <= F.col("doc_id")))
+def _longs(numbers: list[int]) -> Column:
+    """A constant array, folded once."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def _below(bounds: list[int], step: int = 128) -> Column:
+    """How many of the sorted bounds are at most doc_id: every 128th bound first, then those of one stretch."""
+    most = lambda part: F.size(F.filter(part, lambda x: x <= F.col("doc_id")))
+    at = F.greatest(most(_longs(bounds[::step])) - 1, F.lit(0)) * step
+    return at + most(F.slice(_longs(bounds), at + 1, F.lit(step)))
 
 
 def edited(text: str, following: str) -> str:
