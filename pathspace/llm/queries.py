@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -93,9 +96,33 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding(_table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of the operators' results, under names of their own.
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_url_segmentation(spark, sf_dir).drop("verdict")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).drop("kept", "quality_probability")
+
+
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_ppm_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_edit_embedding(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+COMPANIONS = [url_rules, quality_counts, word_scores, edited_texts]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {f.__name__: f for f in COMPANIONS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return dict(ORACLES)

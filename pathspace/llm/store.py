@@ -11,16 +11,26 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine) a folder of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of our own on a single machine, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="pathspace-")
     return _own[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Lets Arrow batches of this session hold at most so many rows: with whole texts, 10,000 (Spark's own number) take more of a Python worker's memory than the work on them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
     path = f"{shared_dir(df.sparkSession)}/pathspace/{name}-{uuid.uuid4().hex}"
