@@ -77,7 +77,7 @@ def _sets_and_sketch(size: int):
     """Rows (doc_id, n, cls, sig), and at the end the task's counters in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, kind = np.zeros(1 << SKETCH_BITS, np.uint32), pa.int64()
+        counters, kind = np.zeros(1 << SKETCH_BITS, np.uint16), pa.int64()
         names = ["doc_id", "n", "cls", "sig", "block", "counts"]
         for b in batches:
             kind = b.column(0).type
@@ -89,13 +89,13 @@ def _sets_and_sketch(size: int):
                     sig.append(parity(x) if len(x) else None)
                     some.append(x & _U((1 << SKETCH_BITS) - 1))
                 at, times = np.unique(np.concatenate(some), return_counts=True)
-                counters[at] += times.astype(np.uint32)
+                # A task's counter stops at 65,535, far above any bound between classes.
+                counters[at] = np.minimum(counters[at] + times, 65_535)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(s.n, pa.int32()), pa.nulls(s.n, pa.binary())], names)
-        # A task's counter stops at 65,535, far above any bound between classes.
-        blocks = np.minimum(counters, 65_535).astype("<u2").reshape(-1, _BLOCK)
-        at = np.flatnonzero(blocks.any(1))
-        k = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names)
+        blocks = counters.astype("<u2", copy=False).reshape(-1, _BLOCK)
+        for at in np.array_split(np.flatnonzero(blocks.any(1)), 8):
+            k = len(at)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names)
 
     return run
 
