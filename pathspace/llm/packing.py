@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .bytelevel import byte_level
 from .store import stored
 
+#: Ids in a batch that leaves a task.
+BATCH_BYTES = 1 << 20
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
 
 
@@ -96,12 +98,12 @@ def _packed(pieces: Iterator[tuple], size: int, open_bins: int, base: int) -> It
         held.setdefault(bin_, []).append((row, offset))
         for c in closed:
             bytes_ += give(c, False)
-        if bytes_ > 4 << 20:
+        if bytes_ > BATCH_BYTES:
             yield _batch(out)
             out, bytes_ = [[] for _ in NAMES], 0
     for c in list(held):
         bytes_ += give(c, True)
-        if bytes_ > 4 << 20:
+        if bytes_ > BATCH_BYTES:
             yield _batch(out)
             out, bytes_ = [[] for _ in NAMES], 0
     if out[0]:

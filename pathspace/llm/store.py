@@ -24,11 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Lets Arrow batches of this session hold at most so many rows: with whole texts, 10,000 (Spark's own number) take more of a Python worker's memory than the work on them."""
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "4m") -> None:
+    """Lets Arrow batches of this session hold at most so many rows and about so many bytes: with whole texts, 10,000 (Spark's own number) take more of a Python worker's memory than the work on them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
