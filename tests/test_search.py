@@ -255,3 +255,16 @@ WORDS = {"phase": {0.0: "masscan", 0.15: "enumerate", 0.25: "whois", 0.35: "gobu
 def test_keywords_of_phases(spark, level, word):
     # "enumerate" holds "enumerat" of a later phase: the earlier one wins the tie.
     assert spark.range(1).select(structure.structure_vector(F.lit(word))[0]).first()[0] == level
+
+
+def test_smart_search_uses_whole_texts(spark, tmp_path):
+    """What sends a query to an engine may stand at its end; facts that begin alike are two, and all of their text is given."""
+    begin = "x" * 450
+    docs = table(spark, "documents").filter("doc_id < 400").select("doc_id", F.when(F.col("doc_id") == 0, F.lit(f"{begin} kerberoasting with bloodhound")).otherwise(F.concat(F.lit(begin), "doc_id")).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, "embeddings").filter("vec_id < 400").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.smart_search(spark, str(tmp_path)).collect()
+    assert {r.query_id: r.category for r in got} == {0: "attack_path", 100: "multi_hop", 200: "multi_hop", 300: "multi_hop"}
+    for i in (0, 100, 200, 300):
+        texts = {r.text for r in got if r.query_id == i}
+        assert len(texts) == 10 and all(len(t) > 450 for t in texts)
