@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pathspace.operators import shape, warp
+from pathspace.operators import graph, shape, warp
 
 
 def plain(x, y):
@@ -59,3 +59,28 @@ def test_tables_meet_in_turns(spark, monkeypatch):
         best = sorted((r.query_id, r.match_rank, r.chain_idx) for r in shape.match_shapes(asked, chains, 4).collect())
         assert best == sorted((q, n, c) for q in {q for q, _ in d} for n, (_, c) in enumerate(sorted((v, c) for (i, c), v in d.items() if i == q)[:4]))
     assert warp.alignments(asked.filter("false"), chains).count() == warp.alignments(asked, chains.filter("false")).count() == 0
+
+
+def test_best_of_columns_taken_together():
+    rng = np.random.default_rng(3)
+    for n, k in ((1000, 3), (700, 300), (20, 30), (600, 1)):
+        sim = np.round(rng.random((9, n)), 2) + rng.choice([0, 3e-13, -3e-13], (9, n))  # many tie at 12 decimals
+        sim[:, 5] = -np.inf
+        others = rng.permutation(n) * 3
+        at, ids, value = graph._best(np.arange(9), others, sim.copy(), k)
+        want = [(i, o, v) for i in range(9) for v, o in sorted((-v, o) for v, o in zip(np.round(sim[i], 12).tolist(), others.tolist(), strict=True) if v > -np.inf)[:k]]
+        assert list(zip(at.tolist(), ids.tolist(), (-value).tolist(), strict=True)) == want
+
+
+def test_matching_reads_known_procedures_once(spark):
+    p = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(some(20))], "query_id long, steps array<array<double>>")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    chains = p.select(F.col("query_id").cast("int").alias("chain_idx"), F.lit("c").alias("name"), F.array(F.lit("q")).alias("queries"), "steps")
+    shape.match_shapes(p, chains.mapInArrow(counted, chains.schema)).collect()
+    assert reads.value == 20
